@@ -96,4 +96,7 @@ def with_summary(df: DataFrame) -> DataFrame:
 
 def explode_findings(df: DataFrame, *keys: str) -> DataFrame:
     """One slim row per finding, in the fields of ``FINDING_FIELDS``."""
-    return df.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.*")
+    # A plain explode would make Spark infer a filter on the array, and with it scan
+    # every document a second time below the projection.
+    rows = df.select(*keys, F.explode_outer("findings").alias("f"))
+    return rows.where(F.col("f").isNotNull()).select(*keys, "f.*")

@@ -23,9 +23,6 @@ from leakloom.functions.catalog import RULES, Rule
 # stray ones in the laid-out copy changes neither matches nor lengths.
 OPEN, CLOSE, STRAY = "\ue000", "\ue001", "\ue002"
 
-HIT_TYPE = "array<struct<line:int,rule:int,column:int,match:string>>"
-
-
 def gate(code: Column, fold: Column, rule: Rule) -> Column:
     return tx.has_any(code if rule.cased else fold, rule.needles)
 
@@ -53,12 +50,34 @@ def _without_tokens(text: Column) -> Column:
     ).otherwise(text)
 
 
-def marked_lines(code: Column, found: Column, rule: Rule) -> Column:
+def with_layouts(df: DataFrame, rules=RULES) -> DataFrame:
+    """Add ``_found``: one struct per rule that matched, with its matches and gaps.
+
+    There are as many gaps as matches; the text after the last match is not needed.
+    """
+    keep = df.columns
+    df = with_matches(df, rules)
+    per_rule = []
+    for r in rules:
+        found = F.col(match_column(r))
+        blanked = F.regexp_replace(_without_tokens(F.col("code")), r.regex, OPEN)
+        per_rule.append(
+            F.when(
+                F.size(found) > 0,
+                F.struct(
+                    F.lit(r.id).alias("rule"),
+                    found.alias("found"),
+                    F.slice(F.split(blanked, OPEN, -1), F.lit(1), F.size(found)).alias("gaps"),
+                ),
+            )
+        )
+    return df.select(*keep, F.array_compact(F.array(*per_rule)).alias("_found"))
+
+
+def marked_lines(found: Column, gaps: Column) -> Column:
     """Lines on which a match starts: array<struct<line:int, text:string>> with tokens."""
-    gaps = F.split(F.regexp_replace(_without_tokens(code), rule.regex, OPEN), OPEN, -1)
     laid_out = F.array_join(
         F.transform(
-            # The last gap has no match after it: it concatenates to null and is dropped.
             F.zip_with(
                 gaps, found, lambda g, m: F.struct(g.alias("g"), _without_tokens(m).alias("m"))
             ),
@@ -100,13 +119,16 @@ def is_batch_token(before: Column) -> Column:
     return F.rlike(before, F.lit(catalog.BATCH_TOKEN))
 
 
-def is_suppressed(rule: Rule, before: Column, match: Column, filename: Column) -> Column:
+def is_suppressed(rule: Column, before: Column, match: Column, filename: Column) -> Column:
     """Known false positives. Suppressed matches take no part in any later step."""
-    if rule.id == catalog.HTTP_RULE:
-        return is_namespace_host(url_host(match)) | is_namespace_context(before)
-    if rule.id == catalog.EVAL_RULE:
-        return is_batch_file(filename) | is_batch_token(before)
-    return F.lit(False)
+    return (
+        F.when(
+            rule == catalog.HTTP_RULE,
+            is_namespace_host(url_host(match)) | is_namespace_context(before),
+        )
+        .when(rule == catalog.EVAL_RULE, is_batch_file(filename) | is_batch_token(before))
+        .otherwise(F.lit(False))
+    )
 
 
 def _ordinal(piece: Column) -> Column:
@@ -117,8 +139,8 @@ def _after_token(piece: Column) -> Column:
     return F.substring(piece, F.instr(piece, CLOSE) + 1, F.length(piece))
 
 
-def _first_on_line(rule: Rule, marked: Column, found: Column, filename: Column) -> Column:
-    """The first match on a marked line that is not suppressed, as (column, ordinal)."""
+def _first_on_line(r: Column, text: Column, filename: Column) -> Column:
+    """The first match on a marked line that is not suppressed, as (col, k); else k = -1."""
     nothing = F.lit(-1)
     state = lambda before, col, k: F.struct(
         before.alias("before"), col.alias("col"), k.alias("k")
@@ -126,51 +148,36 @@ def _first_on_line(rule: Rule, marked: Column, found: Column, filename: Column)
 
     def step(s, piece):
         k = _ordinal(piece)
-        clean = ~is_suppressed(rule, s["before"], F.get(found, k), filename)
+        hit = ~is_suppressed(r["rule"], s["before"], F.get(r["found"], k), filename)
         return (
             F.when(s["k"] >= 0, s)
-            .when(clean, state(F.lit(""), F.length(s["before"]), k))
+            .when(hit, state(F.lit(""), F.length(s["before"]), k))
             .otherwise(state(F.concat(s["before"], _after_token(piece)), nothing, nothing))
         )
 
-    pieces = F.split(marked["text"], OPEN, -1)
     return tx.let(
-        pieces,
+        F.split(text, OPEN, -1),
         lambda p: F.aggregate(
             F.slice(p, F.lit(2), F.size(p)), state(F.element_at(p, 1), nothing, nothing), step
         ),
     )
 
 
-def line_hits(rule: Rule, code: Column, found: Column, filename: Column) -> Column:
-    """Per rule, at most one hit per line: the first one that survives suppression.
-
-    ``found`` must be a materialised column, since it is read inside lambdas.
-    """
-    marked = marked_lines(code, found, rule)
-    hit = lambda line, col, k: F.struct(
-        line.cast("int").alias("line"),
-        F.lit(rule.id).alias("rule"),
-        col.cast("int").alias("column"),
-        tx.redact(F.get(found, k)).alias("match"),
+def _rule_hits(r: Column, filename: Column) -> Column:
+    """At most one hit per line of one rule: the first match that is not suppressed."""
+    firsts = F.transform(
+        marked_lines(r["found"], r["gaps"]),
+        lambda x: F.struct(
+            x["line"].alias("line"), _first_on_line(r, x["text"], filename).alias("at")
+        ),
     )
-    if rule.id in (catalog.HTTP_RULE, catalog.EVAL_RULE):
-        firsts = F.transform(
-            marked,
-            lambda x: F.struct(
-                x["line"].alias("line"), _first_on_line(rule, x, found, filename).alias("at")
-            ),
-        )
-        return F.transform(
-            F.filter(firsts, lambda x: x["at"]["k"] >= 0),
-            lambda x: hit(x["line"], x["at"]["col"], x["at"]["k"]),
-        )
     return F.transform(
-        marked,
-        lambda x: hit(
-            x["line"],
-            F.length(F.substring_index(x["text"], OPEN, 1)),
-            _ordinal(F.element_at(F.split(x["text"], OPEN, 3), 2)),
+        F.filter(firsts, lambda x: x["at"]["k"] >= 0),
+        lambda x: F.struct(
+            x["line"].cast("int").alias("line"),
+            r["rule"].alias("rule"),
+            x["at"]["col"].cast("int").alias("column"),
+            tx.redact(F.get(r["found"], x["at"]["k"])).alias("match"),
         ),
     )
 
@@ -178,16 +185,9 @@ def line_hits(rule: Rule, code: Column, found: Column, filename: Column) -> Colu
 def with_hits(df: DataFrame, rules=RULES) -> DataFrame:
     """Add ``_hits``: per (line, rule) the surviving hit, ordered by line then rule."""
     keep = df.columns
-    df = with_matches(df, rules)
-    none = F.array().cast(HIT_TYPE)
-    parts = [
-        F.when(
-            F.size(F.col(match_column(r))) > 0,
-            line_hits(r, F.col("code"), F.col(match_column(r)), F.col("filename")),
-        ).otherwise(none)
-        for r in rules
-    ]
-    return df.select(*keep, F.sort_array(F.concat(*parts)).alias("_hits"))
+    df = with_layouts(df, rules)
+    hits = F.flatten(F.transform("_found", lambda r: _rule_hits(r, F.col("filename"))))
+    return df.select(*keep, F.sort_array(hits).alias("_hits"))
 
 
 def all_matches(df: DataFrame, rules=RULES) -> DataFrame:
@@ -197,52 +197,35 @@ def all_matches(df: DataFrame, rules=RULES) -> DataFrame:
     before it on its line) and the matched text.
     """
     keep = [c for c in df.columns if c != "code"]
-    df = with_matches(df, rules)
-
-    def located(rule: Rule) -> Column:
-        found = F.col(match_column(rule))
-        gaps = F.split(
-            F.regexp_replace(_without_tokens(F.col("code")), rule.regex, OPEN), OPEN, -1
-        )
-        steps = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(found)),
-            F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.size(found) - 1)),
-            lambda g, m: (F.length(g) + F.length(m)).cast("bigint"),
-        )
-        return F.struct(
-            F.lit(rule.id).alias("rule"),
-            F.lit(rule.type).alias("type"),
-            found.alias("found"),
-            tx.running_totals(steps).alias("offsets"),
-            marked_lines(F.col("code"), found, rule).alias("marked"),
-        )
-
-    per_rule = [F.when(F.size(F.col(match_column(r))) > 0, located(r)) for r in rules]
+    types = F.array(*[F.lit(r.type) for r in RULES])
+    steps = F.zip_with(
+        F.col("r.gaps"),
+        F.concat(F.array(F.lit("")), F.slice("r.found", F.lit(1), F.size("r.found") - 1)),
+        lambda g, m: (F.length(g) + F.length(m)).cast("bigint"),
+    )
     rows = (
-        df.select(*keep, F.explode(F.array_compact(F.array(*per_rule))).alias("r"))
-        .select(*keep, "r.rule", "r.type", "r.found", "r.offsets", F.explode("r.marked").alias("l"))
-        .withColumn("pieces", F.split(F.col("l.text"), OPEN, -1))
+        with_layouts(df, rules)
+        .select(*keep, F.explode_outer("_found").alias("r"))
+        .where(F.col("r").isNotNull())
         .select(
-            *keep, "rule", "type", "found", "offsets", "pieces",
-            F.col("l.line").cast("int").alias("line"),
-            F.explode(F.sequence(F.lit(2), F.size("pieces"))).alias("at"),
+            *keep, "r.rule", "r.found",
+            tx.running_totals(steps).alias("offsets"),
+            F.explode_outer(marked_lines(F.col("r.found"), F.col("r.gaps"))).alias("l"),
         )
+        .select(*keep, "rule", "found", "offsets", "l.line", F.split("l.text", OPEN, -1).alias("p"))
+        .select("*", F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("at", "piece"))
+    )
+    before = F.concat(
+        F.element_at("p", 1),
+        F.array_join(F.transform(F.slice("p", F.lit(2), F.col("at")), _after_token), ""),
     )
-    earlier = F.slice(F.col("pieces"), F.lit(2), F.col("at") - 2)
-    k = _ordinal(F.element_at("pieces", F.col("at")))
     return (
-        rows.withColumn("k", k)
-        .withColumn(
-            "before",
-            F.concat(
-                F.element_at("pieces", 1),
-                F.array_join(F.transform(earlier, _after_token), ""),
-            ),
-        )
+        rows.withColumn("k", _ordinal(F.col("piece")))
+        .withColumn("before", before)
         .select(
-            *keep, "rule", "type", "k",
+            *keep, "rule", F.get(types, F.col("rule")).alias("type"), "k",
             F.get("offsets", F.col("k")).cast("int").alias("offset"),
-            "line",
+            F.col("line").cast("int").alias("line"),
             F.length("before").cast("int").alias("column"),
             "before",
             F.get("found", F.col("k")).alias("text"),
