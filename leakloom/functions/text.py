@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leakloom.functions.catalog import WS_CLASS
 
@@ -23,6 +23,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column so that no later step makes Spark compute it again.
+
+    Spark pushes filters below projections by repeating the projected expression, and an
+    explode implies such a filter. It never pushes a filter on generated rows, while
+    filters on the other columns still pass through to the reader.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def has_any(text: Column, needles) -> Column:
     found = F.lit(False)
     for needle in needles:

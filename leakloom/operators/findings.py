@@ -78,12 +78,11 @@ def with_findings(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 def severity_counts(findings: Column) -> Column:
     """Struct of counts per severity, zero-filled."""
-    return F.struct(
-        *[
-            F.size(F.filter(findings, lambda f, s=s: f["severity"] == s)).alias(s)
-            for s in catalog.SEVERITIES
-        ]
-    )
+
+    def count(severity):
+        return F.size(F.filter(findings, lambda f: f["severity"] == severity)).alias(severity)
+
+    return F.struct(*[count(s) for s in catalog.SEVERITIES])
 
 
 def with_summary(df: DataFrame) -> DataFrame:
@@ -96,7 +95,4 @@ def with_summary(df: DataFrame) -> DataFrame:
 
 def explode_findings(df: DataFrame, *keys: str) -> DataFrame:
     """One slim row per finding, in the fields of ``FINDING_FIELDS``."""
-    # A plain explode would make Spark infer a filter on the array, and with it scan
-    # every document a second time below the projection.
-    rows = df.select(*keys, F.explode_outer("findings").alias("f"))
-    return rows.where(F.col("f").isNotNull()).select(*keys, "f.*")
+    return df.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.*")

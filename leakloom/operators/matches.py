@@ -187,7 +187,7 @@ def with_hits(df: DataFrame, rules=RULES) -> DataFrame:
     keep = df.columns
     df = with_layouts(df, rules)
     hits = F.flatten(F.transform("_found", lambda r: _rule_hits(r, F.col("filename"))))
-    return df.select(*keep, F.sort_array(hits).alias("_hits"))
+    return tx.compute_once(df, "_hits", F.sort_array(hits)).select(*keep, "_hits")
 
 
 def all_matches(df: DataFrame, rules=RULES) -> DataFrame:

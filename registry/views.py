@@ -39,6 +39,7 @@ ARCHIVE_SPAN = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # what the statements assume
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -190,3 +191,99 @@ SELECT event_id AS id, ts, CASE WHEN event_id % 4 = 0 THEN 'archive' ELSE 'code'
        ELSE 'k_' || left(md5(CAST(user_id AS VARCHAR)), 18) END AS key_text
 FROM events
 """
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive entries in directory order, with the cases the archive rules deal with."""
+    i = F.col("doc_id")
+    name = (
+        F.when(i % 331 == 17, F.concat(F.lit("../"), "filename"))
+        .when(i % 11 == 5, F.concat(F.lit("dir"), i.cast("string"), F.lit("/")))
+        .when(i % 7 == 3, F.concat(F.lit(".\\"), F.replace("filename", F.lit("/"), F.lit("\\"))))
+        .otherwise(F.col("filename"))
+    )
+    is_dir = F.endswith(name, F.lit("/"))
+    code = F.when(is_dir, "").when(i % 13 == 4, F.concat(F.lit("\0"), "code")).otherwise(F.col("code"))
+    return corpus(spark, sf_dir).select(
+        "doc_id", "archive",
+        F.floor(i % ARCHIVE_SPAN / 20).cast("int").alias("entry_idx"),
+        name.alias("name"),
+        F.octet_length(code).cast("long").alias("size"),
+        is_dir.alias("is_dir"),
+        code.alias("code"),
+    )
+
+
+ENTRIES_SQL = f"""
+SELECT doc_id, archive, CAST(doc_id % {ARCHIVE_SPAN} // 20 AS INT) AS entry_idx, name,
+  CASE WHEN is_dir THEN 0 ELSE strlen(code) + CASE WHEN is_binary THEN 1 ELSE 0 END END AS size,
+  is_dir, is_binary AND NOT is_dir AS is_binary, code
+FROM (SELECT *, name LIKE '%/' AS is_dir, doc_id % 13 = 4 AS is_binary FROM (
+  SELECT *, CASE WHEN doc_id % 331 = 17 THEN '../' || filename
+    WHEN doc_id % 11 = 5 THEN 'dir' || CAST(doc_id AS VARCHAR) || '/'
+    WHEN doc_id % 7 = 3 THEN '.\\' || replace(filename, '/', '\\') ELSE filename END AS name
+  FROM corpus))
+"""
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries packed into ZIP bytes, one row per archive of bounded size."""
+
+    def pack(group):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        group = group.sort_values("entry_idx")
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, code in zip(group["name"], group["code"]):
+                z.writestr(zipfile.ZipInfo(name), code.encode("utf-8"), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"archive": [group["archive"].iloc[0]], "content": [buffer.getvalue()]})
+
+    packed = entries(spark, sf_dir).select("archive", "entry_idx", "name", "code")
+    zips = packed.groupBy("archive").applyInPandas(pack, "archive string, content binary")
+    return zips.select("archive", F.octet_length("content").cast("long").alias("n_bytes"), "content")
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON request bodies, good and bad ones."""
+    i = F.col("doc_id")
+    good = F.to_json(F.struct(F.col("text").alias("code"), F.concat(F.lit("f"), i.cast("string")).alias("filename")))
+    body = (
+        F.when(i % 10 == 1, '{"filename": "a.py"}')
+        .when(i % 10 == 2, '{"code": 17}')
+        .when(i % 10 == 3, F.to_json(F.struct(F.col("text").alias("code"), F.lit(5).alias("filename"))))
+        .when(i % 10 == 4, F.to_json(F.struct(F.lit(" \n\t ").alias("code"))))
+        .when(i % 10 == 5, "not json")
+        .when(i % 10 == 6, F.to_json(F.struct(F.col("text").alias("code"))))
+        .when(i % 10 == 7, F.to_json(F.struct(F.col("text").alias("code"), F.repeat(F.lit("n"), (i % 300 + 100).cast("int")).alias("filename"))))
+        .otherwise(good)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+
+
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key registrations by known and new users, some of them invalid."""
+    c = F.col("c_custkey")
+    email = (
+        F.when(c % 17 == 0, "nobody")
+        .when(c % 3 == 0, F.lower(F.concat("c_name", F.lit("@example.org"))))
+        .otherwise(F.concat(F.lit(" new"), F.floor(c / 2).cast("string"), F.lit("@example.org ")))
+    )
+    plan = F.when(c % 19 == 0, "gold").when(c % 4 == 0, "pro").when(c % 4 == 1, "").otherwise("free")
+    return table(spark, sf_dir, "customer").select(
+        c.alias("seq"), email.alias("email"), plan.alias("plan"),
+        F.concat(F.lit("reg_"), F.md5(c.cast("string"))).alias("key_text"),
+    )
+
+
+REGISTRATIONS_SQL = """
+SELECT c_custkey AS seq, trim(CASE WHEN c_custkey % 17 = 0 THEN 'nobody'
+    WHEN c_custkey % 3 = 0 THEN lower(c_name || '@example.org')
+    ELSE ' new' || CAST(c_custkey // 2 AS VARCHAR) || '@example.org ' END) AS email,
+  CASE WHEN c_custkey % 19 = 0 THEN 'gold' WHEN c_custkey % 4 = 0 THEN 'pro' ELSE 'free' END AS plan,
+  'reg_' || md5(CAST(c_custkey AS VARCHAR)) AS key_text
+FROM customer
+"""
