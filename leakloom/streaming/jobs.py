@@ -10,12 +10,15 @@ from leakloom.operators import tenants, usage
 from leakloom.plans import scan
 
 
-def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream over the parquet files below ``path``, with the schema they have now."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def file_stream(
+    spark: SparkSession, folder: str, glob: str = "*", files_per_batch: int | None = None
+) -> DataFrame:
+    """A stream over the parquet files of a folder, with the schema they have now."""
+    found = spark.read.option("pathGlobFilter", glob).parquet(folder)
+    reader = spark.readStream.schema(found.schema).option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def scan_stream(requests: DataFrame, limit: int = catalog.MAX_FINDINGS_PER_SCAN) -> DataFrame:

@@ -27,7 +27,8 @@ class _Streams:
         self.read = self
 
     def parquet(self, path):
-        return jobs.file_stream(self._spark, path)
+        folder, _, name = path.rpartition("/")
+        return jobs.file_stream(self._spark, folder, name)
 
 
 def _run(spark, start):
