@@ -6,6 +6,8 @@ row. Only flat findings leave the row, and they no longer carry the text.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakloom.functions import catalog
@@ -58,6 +60,11 @@ def describe(hits: Column) -> Column:
     )
 
 
+@lru_cache
+def _findings() -> Column:
+    return describe(apply_precedence(F.col("_hits"))).alias("findings")
+
+
 def with_findings(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Scan ``code`` (with ``filename``) and add ``findings``; clean rows get an empty array.
 
@@ -65,8 +72,7 @@ def with_findings(df: DataFrame, limit: int | None = None) -> DataFrame:
     ``findings_truncated`` tells whether any were cut.
     """
     keep = df.columns
-    df = matches.with_hits(df)
-    df = df.select(*keep, describe(apply_precedence(F.col("_hits"))).alias("findings"))
+    df = matches.with_hits(df).select(*keep, _findings())
     if limit is None:
         return df
     return df.select(

@@ -14,6 +14,8 @@ a token on its line gives column and context. The work is linear in the document
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakloom.functions import catalog, text as tx
@@ -31,17 +33,24 @@ def match_column(rule: Rule) -> str:
     return f"_m{rule.id:02d}"
 
 
-def with_matches(df: DataFrame, rules=RULES) -> DataFrame:
-    """Add one array of matched texts per rule; null where the rule cannot match."""
-    df = df.withColumn("_fold", tx.folded(F.col("code")))
+# Expressions name their columns and do not depend on a frame, so each is built once.
+
+
+@lru_cache
+def _match_columns(rules: tuple[Rule, ...]) -> list[Column]:
     code, fold = F.col("code"), F.col("_fold")
-    found = [
+    return [
         F.when(gate(code, fold, r), F.regexp_extract_all(code, F.lit(r.regex), F.lit(0))).alias(
             match_column(r)
         )
         for r in rules
     ]
-    return df.select(*[c for c in df.columns if c != "_fold"], *found)
+
+
+def with_matches(df: DataFrame, rules=RULES) -> DataFrame:
+    """Add one array of matched texts per rule; null where the rule cannot match."""
+    folded = df.withColumn("_fold", tx.folded(F.col("code")))
+    return folded.select(*df.columns, *_match_columns(tuple(rules)))
 
 
 def _without_tokens(text: Column) -> Column:
@@ -50,13 +59,8 @@ def _without_tokens(text: Column) -> Column:
     ).otherwise(text)
 
 
-def with_layouts(df: DataFrame, rules=RULES) -> DataFrame:
-    """Add ``_found``: one struct per rule that matched, with its matches and gaps.
-
-    There are as many gaps as matches; the text after the last match is not needed.
-    """
-    keep = df.columns
-    df = with_matches(df, rules)
+@lru_cache
+def _layouts(rules: tuple[Rule, ...]) -> Column:
     per_rule = []
     for r in rules:
         found = F.col(match_column(r))
@@ -71,7 +75,15 @@ def with_layouts(df: DataFrame, rules=RULES) -> DataFrame:
                 ),
             )
         )
-    return df.select(*keep, F.array_compact(F.array(*per_rule)).alias("_found"))
+    return F.array_compact(F.array(*per_rule)).alias("_found")
+
+
+def with_layouts(df: DataFrame, rules=RULES) -> DataFrame:
+    """Add ``_found``: one struct per rule that matched, with its matches and gaps.
+
+    There are as many gaps as matches; the text after the last match is not needed.
+    """
+    return with_matches(df, rules).select(*df.columns, _layouts(tuple(rules)))
 
 
 def marked_lines(found: Column, gaps: Column) -> Column:
@@ -182,12 +194,17 @@ def _rule_hits(r: Column, filename: Column) -> Column:
     )
 
 
+@lru_cache
+def _hits() -> Column:
+    return F.sort_array(
+        F.flatten(F.transform("_found", lambda r: _rule_hits(r, F.col("filename"))))
+    )
+
+
 def with_hits(df: DataFrame, rules=RULES) -> DataFrame:
     """Add ``_hits``: per (line, rule) the surviving hit, ordered by line then rule."""
-    keep = df.columns
-    df = with_layouts(df, rules)
-    hits = F.flatten(F.transform("_found", lambda r: _rule_hits(r, F.col("filename"))))
-    return tx.compute_once(df, "_hits", F.sort_array(hits)).select(*keep, "_hits")
+    found = with_layouts(df, rules)
+    return tx.compute_once(found, "_hits", _hits()).select(*df.columns, "_hits")
 
 
 def all_matches(df: DataFrame, rules=RULES) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leakloom.functions import catalog, text as tx
@@ -44,15 +46,18 @@ def report_items(findings: Column, code_lines: Column) -> Column:
     )
 
 
+@lru_cache
+def _items() -> Column:
+    return report_items(F.col("findings"), F.col("_lines"))
+
+
 def with_report(df: DataFrame) -> DataFrame:
     """Add ``report`` next to ``findings``. Lines are cut only where something was found."""
     lines = F.when(
         (F.size("findings") > 0) & (F.length("code") > 0), F.split("code", "\n", -1)
     )
-    keep = df.columns
-    df = df.select(*keep, lines.alias("_lines"))
-    items = report_items(F.col("findings"), F.col("_lines"))
-    return tx.compute_once(df, "report", items).drop("_lines")
+    df = df.withColumn("_lines", lines)
+    return tx.compute_once(df, "report", _items()).drop("_lines")
 
 
 def templates(spark: SparkSession) -> DataFrame:

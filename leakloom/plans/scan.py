@@ -22,6 +22,16 @@ def scan_requests(
     return report.with_report(fd.with_summary(found)).withColumn("status", F.lit("ok"))
 
 
+def scan_bodies(bodies: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JSON request bodies to results, blank results and refused requests."""
+    checked = admission.with_admission(bodies, column).drop(column)
+    return (
+        scan_requests(admission.admitted(checked)),
+        checked.where(F.col("reason") == admission.BLANK),
+        admission.quarantined(checked),
+    )
+
+
 def scan_document(results: DataFrame, *keys: str) -> DataFrame:
     """The published fields of a scan result; the code itself is not repeated."""
     published = F.transform(

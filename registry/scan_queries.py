@@ -509,7 +509,7 @@ FROM findings f JOIN templates t USING (type)""",
 
 def _raw_scan(table, key, text, filename):
     def run(spark, sf):
-        files = v.table(spark, sf, table).select(
+        files = tables.spread(v.table(spark, sf, table).select(key, text)).select(
             F.col(key).alias("doc_id"), F.lit(filename).alias("filename"), F.col(text).alias("code")
         )
         return fd.explode_findings(fd.with_findings(files), "doc_id").select(
