@@ -52,7 +52,7 @@ def with_admission(
         .when(tx.is_blank(F.col("code")), BLANK)
         .otherwise(SCAN)
     )
-    return df.withColumn("reason", reason).drop("_code", "_name")
+    return tx.compute_once(df, "reason", reason).drop("_code", "_name")
 
 
 def admitted(df: DataFrame) -> DataFrame:

@@ -100,18 +100,39 @@ def cap_entries(
     )
 
 
-def rollup(capped: DataFrame, *keys: str) -> DataFrame:
-    """One row per archive. ``capped`` carries ``kept_counts``, a struct per severity."""
-    sums = [
-        F.sum(F.coalesce(F.col("kept_counts")[s], F.lit(0))).cast("long").alias(s)
-        for s in catalog.SEVERITIES
-    ]
-    return capped.groupBy("archive", *keys).agg(
+def kept(values: Column, keep: Column) -> Column:
+    return F.slice(values, F.lit(1), keep)
+
+
+def with_kept_counts(capped: DataFrame) -> DataFrame:
+    """Cut ``findings`` to the kept ones and count them per severity."""
+    df = capped.withColumn("findings", kept(F.col("findings"), F.col("keep")))
+    return df.withColumn("kept_counts", fd.severity_counts(F.col("findings")))
+
+
+def _totals() -> list[Column]:
+    return [
         F.count_if("scanned").alias("files_scanned"),
         F.count_if(F.col("keep") > 0).alias("files_with_findings"),
         F.sum("keep").cast("long").alias("total"),
-        *sums,
+        *[
+            F.sum(F.coalesce(F.col("kept_counts")[s], F.lit(0))).cast("long").alias(s)
+            for s in catalog.SEVERITIES
+        ],
+    ]
+
+
+def _files(fields: tuple[str, ...]) -> Column:
+    item = F.struct(
+        "entry_idx", F.col("filename").alias("file"), F.col("keep").alias("count"), *fields
     )
+    # Entries that are not emitted give null, which is not collected.
+    return F.sort_array(F.collect_list(F.when(F.col("emitted"), item))).alias("findings_by_file")
+
+
+def rollup(capped: DataFrame, *keys: str) -> DataFrame:
+    """One row per archive. ``capped`` carries ``kept_counts``, a struct per severity."""
+    return capped.groupBy("archive", *keys).agg(*_totals())
 
 
 def files_list(capped: DataFrame, *fields: str) -> DataFrame:
@@ -120,21 +141,9 @@ def files_list(capped: DataFrame, *fields: str) -> DataFrame:
     The array is bounded: an admitted archive has a limited number of entries and its
     findings are capped before they are collected.
     """
-    item = F.struct(
-        "entry_idx", F.col("filename").alias("file"), F.col("keep").alias("count"), *fields
-    )
-    return (
-        capped.where("emitted")
-        .groupBy("archive")
-        .agg(F.sort_array(F.collect_list(item)).alias("findings_by_file"))
-    )
-
-
-def kept_findings(findings: Column, keep: Column) -> Column:
-    return F.slice(findings, F.lit(1), keep)
+    return capped.groupBy("archive").agg(_files(fields))
 
 
-def with_kept_counts(capped: DataFrame) -> DataFrame:
-    """Cut ``findings`` to the kept ones and count them per severity."""
-    df = capped.withColumn("findings", kept_findings(F.col("findings"), F.col("keep")))
-    return df.withColumn("kept_counts", fd.severity_counts(F.col("findings")))
+def archive_results(capped: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """Rollup and file list in one aggregation, so that the scan below runs once."""
+    return capped.groupBy("archive", *keys).agg(*_totals(), _files(fields))

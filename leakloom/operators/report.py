@@ -23,16 +23,15 @@ def template_field(kind: Column, field: int) -> Column:
     return F.coalesce(known, F.lit(catalog.DEFAULT_TEMPLATE[field]))
 
 
-def report_items(findings: Column, code_lines: Column) -> Column:
+def report_items(findings: Column, snippets: Column) -> Column:
     """Array of report items, in the order of the findings.
 
-    The field names are those of the wire format. ``code_lines`` is null or empty when
-    there is no code; then the snippets are empty.
+    The field names are those of the wire format. Missing snippets become empty.
     """
-    has_code = F.coalesce(F.size(code_lines) > 0, F.lit(False))
-    return F.transform(
+    return F.zip_with(
         findings,
-        lambda f: F.struct(
+        snippets,
+        lambda f, s: F.struct(
             severity_label(f["severity"]).alias("severity"),
             f["severity"].alias("severity_raw"),
             f["line"].alias("line"),
@@ -40,7 +39,7 @@ def report_items(findings: Column, code_lines: Column) -> Column:
             template_field(f["type"], 1).alias("explicatie"),
             template_field(f["type"], 2).alias("fix_prompt"),
             F.coalesce(f["match"], F.lit("")).alias("match_redactat"),
-            F.when(has_code, tx.snippet(code_lines, f["line"])).otherwise("").alias("snippet"),
+            F.coalesce(s, F.lit("")).alias("snippet"),
             F.coalesce(f["confidence"], F.lit("medium")).alias("confidence"),
         ),
     )
@@ -48,16 +47,25 @@ def report_items(findings: Column, code_lines: Column) -> Column:
 
 @lru_cache
 def _items() -> Column:
-    return report_items(F.col("findings"), F.col("_lines"))
+    return report_items(F.col("findings"), F.col("snippets"))
 
 
-def with_report(df: DataFrame) -> DataFrame:
-    """Add ``report`` next to ``findings``. Lines are cut only where something was found."""
+@lru_cache
+def _snippets() -> Column:
+    return F.transform("findings", lambda f: tx.snippet(F.col("_lines"), f["line"]))
+
+
+def with_snippets(df: DataFrame) -> DataFrame:
+    """Add ``snippets``, one per finding. Lines are cut only where something was found."""
     lines = F.when(
         (F.size("findings") > 0) & (F.length("code") > 0), F.split("code", "\n", -1)
     )
-    df = df.withColumn("_lines", lines)
-    return tx.compute_once(df, "report", _items()).drop("_lines")
+    return tx.compute_once(df.withColumn("_lines", lines), "snippets", _snippets()).drop("_lines")
+
+
+def with_report(df: DataFrame) -> DataFrame:
+    """Add ``report`` next to ``findings``; both have the same length and order."""
+    return tx.compute_once(with_snippets(df), "report", _items()).drop("snippets")
 
 
 def templates(spark: SparkSession) -> DataFrame:

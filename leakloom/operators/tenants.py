@@ -120,6 +120,11 @@ def list_keys(keys: DataFrame, users: DataFrame) -> DataFrame:
     return keys.join(owners, "user_id").select(*columns, "email", "plan").orderBy("id")
 
 
+def _anywhere() -> Column:
+    """A value that matches no key or label, spread over many partitions."""
+    return F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))
+
+
 # --- callers of requests ----------------------------------------------------------
 
 
@@ -141,9 +146,8 @@ def with_caller(
     )
     key = F.nullif(tx.strip(F.col("key_text")), F.lit(""))
     # Requests without a key match nothing; spread them instead of piling up nulls.
-    anywhere = F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))
     called = requests.withColumn("_key", key).withColumn(
-        "key_hash", F.coalesce(digests.key_digest(F.col("_key")), anywhere)
+        "key_hash", F.coalesce(digests.key_digest(F.col("_key")), _anywhere())
     )
     joined = called.join(active, "key_hash", "left")
     registered = F.col("user_id").isNotNull()
@@ -226,7 +230,11 @@ def quota_decisions(
     cut = topk.nth_per_group(
         keyed, ["caller", "day"], ["ts", "id"], F.col("_left"), max(limits.values()), "id"
     )
-    df = df.join(cut, ["caller", "day"], "left")
+    # Anonymous requests have no deciding point; spread them instead of joining one hot key.
+    slot = F.when(F.col("caller") != "anon", F.col("caller")).otherwise(_anywhere())
+    df = df.withColumn("_slot", slot).join(
+        cut.withColumnRenamed("caller", "_slot"), ["_slot", "day"], "left"
+    ).drop("_slot")
     after = F.struct("ts", "id") > F.col("cutoff")
     blocked = (F.col("caller") != "anon") & F.col("valid") & (F.col("route") == "code")
     over = F.coalesce(after, F.lit(False))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leakloom.functions import catalog, digests
 from leakloom.operators import topk
@@ -113,53 +113,69 @@ def mean_duration(log: DataFrame) -> DataFrame:
 def stats(log: DataFrame, since: datetime, days: int) -> DataFrame:
     """All statistics in one long frame: section, item, scans, findings, value.
 
-    The log is reduced once, to sums per key and day, and every section is derived from
-    those; Spark reuses the one shuffle. The per-key section stays distributed rows, as
-    its length grows with the number of keys.
+    The log is read once and reduced to sums per key and day; grouping sets over those
+    give the totals, the days and the keys. The per-key section stays distributed rows,
+    as its length grows with the number of keys.
     """
     inside = F.col("ts") >= _since(since)
     ok = F.col("status") == "ok"
+    sums = ("n", "n_in", "f_in", "n_err", "ms", "n_ms")
     base = log.groupBy("key_id", F.to_date("ts").alias("date")).agg(
         F.count("*").alias("n"),
         F.count_if(inside).alias("n_in"),
-        F.sum(F.when(inside, F.col("findings"))).alias("f_in"),
+        F.coalesce(F.sum(F.when(inside, F.col("findings"))), F.lit(0)).alias("f_in"),
         F.count_if(~ok).alias("n_err"),
-        F.sum(F.when(ok, F.col("duration_ms"))).alias("ms"),
+        F.coalesce(F.sum(F.when(ok, F.col("duration_ms"))), F.lit(0)).alias("ms"),
         F.count(F.when(ok, F.col("duration_ms"))).alias("n_ms"),
     )
-    scalars = base.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_all_time"),
-        F.coalesce(F.sum("n_in"), F.lit(0)).alias("total_last_days"),
-        F.coalesce(F.sum("n_err"), F.lit(0)).alias("errors"),
-        F.coalesce(F.sum("ms") / F.sum("n_ms"), F.lit(0.0)).alias("avg_duration_ms"),
+    # One row of zeros, so that an empty log has totals too.
+    zeros = log.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("key_id"),
+        F.lit(None).cast("date").alias("date"),
+        *[F.lit(0).cast("bigint").alias(c) for c in sums],
     )
-    none = F.lit(None).cast("bigint")
-    row = lambda section, item, scans, found, value: [
-        F.lit(section).alias("section"), item.alias("item"), scans.alias("scans"),
-        found.alias("findings"), value.cast("double").alias("value"),
-    ]
-    names = ("total_all_time", "total_last_days", "errors", "avg_duration_ms")
-    totals = scalars.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(*row("total", F.lit(c), none, none, F.col(c)))
-                    for c in names
-                ]
-            )
+    grouped = (
+        base.unionByName(zeros)
+        .groupingSets([[], ["date"], ["key_id"]], "date", "key_id")
+        .agg(
+            F.grouping("date").alias("no_date"), F.grouping("key_id").alias("no_key"),
+            *[F.sum(c).alias(c) for c in sums],
         )
     )
-    active = base.where(F.col("n_in") > 0)
-    sums = (F.sum("n_in").alias("s"), F.coalesce(F.sum("f_in"), F.lit(0)).alias("f"))
-    no_value = F.lit(None).cast("double")
-    newest = active.groupBy("date").agg(*sums).orderBy(F.desc("date")).limit(days)
-    per_day = newest.select(
-        *row("daily", F.col("date").cast("string"), F.col("s"), F.col("f"), no_value)
+    is_total = (F.col("no_date") == 1) & (F.col("no_key") == 1)
+    none = F.lit(None).cast("bigint")
+
+    def row(section, item, scans, found, value):
+        return F.struct(
+            section.alias("section"), item.alias("item"), scans.alias("scans"),
+            found.alias("findings"), value.cast("double").alias("value"),
+        )
+
+    mean = F.coalesce(F.try_divide("ms", "n_ms"), F.lit(0.0))
+    totals = [
+        row(F.lit("total"), F.lit(name), none, none, value)
+        for name, value in (
+            ("total_all_time", F.col("n")),
+            ("total_last_days", F.col("n_in")),
+            ("errors", F.col("n_err")),
+            ("avg_duration_ms", mean),
+        )
+    ]
+    group = row(
+        F.when(F.col("no_date") == 0, "daily").otherwise("by_key"),
+        F.coalesce(F.col("date").cast("string"), "key_id"),
+        F.col("n_in"), F.col("f_in"), F.lit(None),
     )
-    per_key = active.groupBy("key_id").agg(*sums).select(
-        *row("by_key", F.col("key_id"), F.col("s"), F.col("f"), no_value)
+    listed = (
+        grouped.where(is_total | (F.col("n_in") > 0))
+        .select(F.inline(F.when(is_total, F.array(*totals)).otherwise(F.array(group))))
     )
-    return totals.unionByName(per_day).unionByName(per_key)
+    # Days are ranked among themselves; every other row is alone in its partition.
+    alone = F.when(F.col("section") != "daily", F.col("item"))
+    newest = Window.partitionBy("section", alone).orderBy(F.desc("item"))
+    return listed.withColumn("_nth", F.row_number().over(newest)).where(
+        F.col("_nth") <= days
+    ).drop("_nth")
 
 
 def latest(log: DataFrame, limit: int = 50) -> DataFrame:

@@ -99,18 +99,24 @@ def scan_entries(
     per_archive: int = catalog.MAX_FINDINGS_PER_ARCHIVE,
     with_reports: bool = False,
 ) -> DataFrame:
-    """Scan entry rows, then apply the caps. Code stays behind before the first shuffle."""
+    """Scan entry rows, then apply the caps.
+
+    Code stays behind before the shuffle by archive; of a report only the snippets travel,
+    its fixed texts are filled in afterwards.
+    """
     rows = rows.withColumn("code", F.when(F.col("scanned"), F.col("code")).otherwise(""))
     found = fd.with_findings(rows)
     sized = found.withColumns(
         {"n": F.size("findings"), "findings": F.slice("findings", 1, per_entry)}
     )
     if with_reports:
-        sized = report.with_report(sized)
+        sized = report.with_snippets(sized)
     capped = en.cap_entries(sized.drop("code"), per_entry, per_archive)
     capped = en.with_kept_counts(capped)
     if with_reports:
-        capped = capped.withColumn("report", en.kept_findings(F.col("report"), F.col("keep")))
+        snippets = en.kept(F.col("snippets"), F.col("keep"))
+        items = report.report_items(F.col("findings"), snippets)
+        capped = capped.withColumn("report", items).drop("snippets")
     return capped
 
 
@@ -122,14 +128,14 @@ def scan_archives(archives: DataFrame, with_reports: bool = True) -> DataFrame:
     """
     capped = scan_entries(entry_rows(directories(archives)), with_reports=with_reports)
     fields = ("findings", "report") if with_reports else ("findings",)
-    totals = en.rollup(capped, "n_bytes", "reason", "failed", "archive_status")
-    files = en.files_list(capped, *fields)
+    keys = ("n_bytes", "reason", "failed", "archive_status")
+    results = en.archive_results(capped, keys, fields)
     status = (
         F.when(F.col("reason").isNotNull(), en.REJECTED)
         .when(F.col("failed"), en.ERROR)
         .otherwise(F.col("archive_status"))
     )
-    named = totals.withColumns(
+    results = results.withColumns(
         {
             "status": status,
             "reason": F.coalesce(
@@ -137,7 +143,6 @@ def scan_archives(archives: DataFrame, with_reports: bool = True) -> DataFrame:
             ),
         }
     ).drop("failed", "archive_status")
-    results = named.join(files, "archive", "left")
     only_ok = [c for c in results.columns if c not in ("archive", "n_bytes", "status", "reason")]
     return results.select(
         "archive", "n_bytes", "status", "reason",
