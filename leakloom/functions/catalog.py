@@ -38,14 +38,19 @@ class Rule:
     needles: tuple[str, ...]
     description: str
     cased: bool = False
+    also: str = ""  # a literal that every match contains besides its needle
+    # The same language written without nested backtracking, where the pattern has some:
+    # a run that cannot contain its own terminator is taken whole or not at all.
+    linear: str = ""
 
     @property
     def regex(self) -> str:
+        body = self.linear or self.pattern
         if self.cased:
-            return rf"(?=[{self.starts}])(?U)(?:{self.pattern})"
+            return rf"(?=[{self.starts}])(?U)(?:{body})"
         # A plain character class is a table lookup, far cheaper than case folding.
         both = self.starts + self.starts.upper() + ("\u017f" if "s" in self.starts else "")
-        return rf"(?=[{both}])(?iU)(?:{self.pattern})"
+        return rf"(?=[{both}])(?iU)(?:{body})"
 
 
 # Rule types, severities, confidences and patterns. The order counts:
@@ -87,6 +92,10 @@ RULES: tuple[Rule, ...] = (
         "pmr",
         ("postgresq", "mysql://", "mongodb://", "redis://"),
         "A database address carries its user name and password.",
+        also="@",
+        # The first look-ahead is a table lookup per character and refuses most runs.
+        linear=rf"""(?:postgresql?|mysql|mongodb|redis)://(?-iU:(?=[^@'"\n ]*+@))"""
+        rf"(?={NOT_SPACE_QUOTE_AT}?:{NOT_SPACE_QUOTE_AT}){NOT_SPACE_QUOTE_AT}+@",
     ),
     Rule(
         5, "hardcoded_private_key", "critical", "high",
@@ -109,6 +118,8 @@ RULES: tuple[Rule, ...] = (
         "ecqr",
         ("execute", "query"),
         "A query text is filled in with the % operator instead of bound parameters.",
+        also="%",
+        linear=rf"""{DB_CALL}{W}\({W}{QUOTE}(?=[^'"]*?%[sd])[^'"]*+{QUOTE}{W}%(?!{W}{QUOTE})""",
     ),
     Rule(
         8, "command_injection", "critical", "high",

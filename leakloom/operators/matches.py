@@ -26,7 +26,9 @@ from leakloom.functions.catalog import RULES, Rule
 OPEN, CLOSE, STRAY = "\ue000", "\ue001", "\ue002"
 
 def gate(code: Column, fold: Column, rule: Rule) -> Column:
-    return tx.has_any(code if rule.cased else fold, rule.needles)
+    text = code if rule.cased else fold
+    likely = tx.has_any(text, rule.needles)
+    return likely & F.contains(text, F.lit(rule.also)) if rule.also else likely
 
 
 def match_column(rule: Rule) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leakloom.functions import catalog, text as tx
+from leakloom.operators import usage
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -78,3 +79,8 @@ def append_usage(rows: DataFrame, path: str) -> None:
     """
     with_day = rows.withColumn("ts_date", F.to_date("ts"))
     with_day.hint("rebalance", "ts_date").write.mode("append").partitionBy("ts_date").parquet(path)
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The usage log; parts written before it had owners get null owners."""
+    return usage.read_log([spark.read.option("mergeSchema", "true").parquet(path)])

@@ -43,7 +43,9 @@ add(
 def file_tree(spark, sf):
     """Documents written as one file each, then read back as a file tree."""
     path = session.shared_dir(spark, "files")
-    docs = v.table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value"))
+    docs = tables.spread(v.table(spark, sf, "documents")).select(
+        "doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value")
+    )
     docs.write.partitionBy("doc_id").text(path)
     files = tables.file_tree(spark, path)
     return files.select(

@@ -87,7 +87,7 @@ def append_sink(spark, sf):
     tables.append_usage(rows.where(F.col("status") == "ok"), path)
     tables.append_usage(rows.where(F.col("status") != "ok"), path)
     return (
-        spark.read.parquet(path)
+        tables.read_usage(spark, path)
         .groupBy(F.col("ts_date").cast("string").alias("ts_date"), "status")
         .agg(F.count("*").alias("scans"), F.sum("findings").alias("findings"))
     )

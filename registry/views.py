@@ -244,7 +244,13 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
                 z.writestr(zipfile.ZipInfo(name), code.encode("utf-8"), zipfile.ZIP_DEFLATED)
         return pd.DataFrame({"archive": [group["archive"].iloc[0]], "content": [buffer.getvalue()]})
 
-    packed = entries(spark, sf_dir).select("archive", "entry_idx", "name", "code")
+    # A fixed number of partitions: packing and scanning are work for all cores.
+    cores = spark.sparkContext.defaultParallelism
+    packed = (
+        entries(spark, sf_dir)
+        .select("archive", "entry_idx", "name", "code")
+        .repartition(cores, "archive")
+    )
     zips = packed.groupBy("archive").applyInPandas(pack, "archive string, content binary")
     return zips.select("archive", F.octet_length("content").cast("long").alias("n_bytes"), "content")
 

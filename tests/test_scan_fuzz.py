@@ -40,6 +40,7 @@ TOKEN = python_context(catalog.BATCH_TOKEN)
 
 
 def expected(code, filename):
+    """Findings of one document by the plain patterns, as (line, severity, rule, column, match)."""
     taken = {}  # (line, rule) -> column, match
     for rule, pattern in PATTERNS:
         for m in pattern.finditer(code):
@@ -104,12 +105,27 @@ def test_all_matches_positions(spark):
     assert got == sorted(want)
 
 
+def test_database_addresses_and_formatted_queries(spark):
+    rnd = random.Random(9)
+    parts = ["redis://", "mysql://", "a", ":", "@", "::", ":@", "@a", " ", "'", 'execute("', 'query("', "%s", "%d", "%", '"', " % x", "%%", "\n"]
+    docs = [(i, "a.py", "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 25)))) for i in range(6000)]
+    files = spark.createDataFrame(docs, "id int, filename string, code string").repartition(4)
+    got = {
+        r.id: [(f.line, f.severity, f.rule, f.column, f.match) for f in r.findings]
+        for r in fd.with_findings(files).collect()
+    }
+    assert [d for d in docs if expected(d[2], d[1]) != got[d[0]]] == []
+    kinds = [f[2] for fs in got.values() for f in fs]
+    assert kinds.count(4) > 100 and kinds.count(7) > 100
+
+
 @pytest.mark.parametrize(
     "token, times",
-    [("os.system(", 10000), ("app.run(", 12000), ("http://", 14000), ('execute("', 11000), ("postgres://", 11000)],
+    [("redis://a:", 2500), ('execute("' + "%s" * 50000, 1), ("xmlns:" * 10 + "http://a ", 1500),
+     ("os.system(", 10000), ("app.run(", 12000), ("http://", 14000), ('execute("', 11000), ("postgres://", 11000)],
 )
 def test_adversarial_text_is_linear(spark, token, times):
-    files = spark.createDataFrame([(1, "a.py", token * times)], "id int, filename string, code string")
+    files = spark.createDataFrame([(1, "a.py", token * times + " @ %")], "id int, filename string, code string")
     scan.scan_files(files).collect()
     start = time.perf_counter()
     scan.scan_files(files).collect()
