@@ -1,9 +1,9 @@
 """Users, API keys, ownership, quotas and rates, evaluated over logs of requests.
 
 Frames: users(id, email, plan), api_keys(id, user_id, key_hash, key_prefix, rate_limit,
-revoked), requests(id, ts, route, ip, key_text). Joins carry no broadcast hint: Spark
-broadcasts the key tables while they are small, by measured size, and otherwise joins by
-key with adaptive skew handling.
+revoked), requests(id, ts, route, ip, key_text). The request log is the large side. Keys
+are sent to it only after their number was checked; a longer list is joined by key, with
+Spark's adaptive handling of skew.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from leakloom.functions import catalog, digests, text as tx
 from leakloom.operators import topk
 
 SCAN_ROUTES = ("code", "archive")
+# Up to this many active keys (some 100 bytes each) are sent to every executor.
+MAX_BROADCAST_KEYS = 500_000
 
 
 def _plan_value(plan: Column, values: dict[str, int]) -> Column:
@@ -125,11 +127,23 @@ def _anywhere() -> Column:
     return F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))
 
 
+def broadcast_if_short(table: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """Mark a table for broadcast if it has at most ``max_rows`` rows.
+
+    Counting stops right after the bound, so the check stays cheap for long tables.
+    """
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+
+
 # --- callers of requests ----------------------------------------------------------
 
 
 def with_caller(
-    requests: DataFrame, keys: DataFrame, users: DataFrame, legacy: tuple[str, ...] = ()
+    requests: DataFrame,
+    keys: DataFrame,
+    users: DataFrame,
+    legacy: tuple[str, ...] = (),
+    max_broadcast: int = MAX_BROADCAST_KEYS,
 ) -> DataFrame:
     """Add who is behind each request: user_id, email, plan, caller_key_id, caller_prefix,
     caller_rate (null unless registered and active), ``legacy``, ``caller`` (label) and
@@ -149,7 +163,7 @@ def with_caller(
     called = requests.withColumn("_key", key).withColumn(
         "key_hash", F.coalesce(digests.key_digest(F.col("_key")), _anywhere())
     )
-    joined = called.join(active, "key_hash", "left")
+    joined = called.join(broadcast_if_short(active, max_broadcast), "key_hash", "left")
     registered = F.col("user_id").isNotNull()
     is_legacy = F.coalesce(~registered & F.col("_key").isin(*legacy), F.lit(False)) if legacy \
         else F.lit(False)

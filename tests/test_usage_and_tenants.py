@@ -94,6 +94,16 @@ def test_callers_and_limits(spark):
             assert r.bucket == f"ip:{r.ip}"
 
 
+def test_lookup_is_the_same_beyond_the_broadcast_bound(spark):
+    _, frame = requests(spark, 500)
+    keys, users = directory(spark)
+    small = tenants.with_caller(frame, keys, users, ("old",))
+    large = tenants.with_caller(frame, keys, users, ("old",), max_broadcast=1)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(small) and "broadcast" not in plan(large)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
 def test_rate_violations_equal_a_count(spark):
     rows, frame = requests(spark, 3000)
     called = tenants.with_rate_limit(tenants.with_caller(frame, *directory(spark), legacy=("old",)))
