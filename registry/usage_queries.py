@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leakloom import session
 from leakloom.functions import catalog, digests
 from leakloom.operators import tenants, usage
+from leakloom.plans import gate
 from leakloom.sources import tables
 from registry import views as v
 
@@ -313,6 +314,32 @@ add(
     lambda spark, sf: tenants.quota_decisions(called(spark, sf), LIMITS).select("id", "route", "caller", "blocked"),
     _QUOTA,
 )
+
+
+def with_bodies(spark, sf):
+    i = F.col("id")
+    body = (
+        F.when(i % 10 == 1, "{}").when(i % 10 == 2, '{"code": 3}').when(i % 10 == 3, '{"code": " "}')
+        .otherwise(F.to_json(F.struct(F.concat(F.lit("x = "), i.cast("string")).alias("code"))))
+    )
+    return v.requests(spark, sf).withColumn("body", F.when(F.col("route") == "code", body))
+
+
+add(
+    "K12_request_outcomes",
+    lambda spark, sf: gate.decide(
+        with_bodies(spark, sf), v.api_keys(spark, sf), v.users(spark, sf), v.LEGACY_KEYS, LIMITS
+    ).select("id", "route", "caller", "outcome"),
+    f"""{_CALLED}, checked AS (SELECT *, {_VALID_CALL} AS valid, CASE id % 10 WHEN 1 THEN 'no_code'
+  WHEN 2 THEN 'code_not_text' WHEN 3 THEN 'blank' ELSE 'scan' END AS reason FROM called),
+counted AS (SELECT *, count(*) FILTER (valid AND (route = 'archive' OR reason = 'scan')) OVER (
+  PARTITION BY caller, CAST(ts AS DATE) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM checked)
+SELECT id, route, caller, CASE WHEN route = 'code' AND reason = 'no_code' THEN 'no_code'
+  WHEN NOT valid THEN 'invalid_key'
+  WHEN route = 'code' AND caller <> 'anon' AND used >= CASE WHEN plan = 'pro' THEN {LIMITS['pro']} ELSE {LIMITS['free']} END
+    THEN 'daily_limit'
+  WHEN route = 'archive' THEN 'scan' ELSE reason END AS outcome FROM counted""",
+)
 add("K13_caller_label", lambda spark, sf: called(spark, sf).select("id", "caller"),
     f"{_CALLED} SELECT id, caller FROM called")
 add("K14_key_validity", lambda spark, sf: called(spark, sf).select("id", "valid"),
