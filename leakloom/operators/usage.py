@@ -28,9 +28,18 @@ def window_start(as_of: datetime, days: int) -> datetime:
     return (as_of - timedelta(days=days)).replace(microsecond=0)
 
 
-def _since(moment: datetime) -> Column:
-    # Spelled out, so that it is read in the session time zone and not the driver's.
-    return F.lit(moment.isoformat(sep=" ")).cast("timestamp")
+def _in_window(log: DataFrame, since: datetime) -> Column:
+    # The bound is spelled out, so that it is read in the session time zone, and takes the
+    # type of the column, so that the filter reaches the parquet reader.
+    bound = F.lit(since.isoformat(sep=" ")).cast(log.schema["ts"].dataType)
+    return F.col("ts") >= bound
+
+
+def _windowed(log: DataFrame, since: datetime) -> DataFrame:
+    """Rows of the window. In a log laid out by day, older folders are not even listed."""
+    if "ts_date" in log.columns:
+        log = log.where(F.col("ts_date") >= F.lit(since.date()))
+    return log.where(_in_window(log, since))
 
 
 def findings_total(total: Column, *severities: Column) -> Column:
@@ -77,13 +86,13 @@ def total_scans(log: DataFrame) -> DataFrame:
 
 
 def scans_since(log: DataFrame, since: datetime) -> DataFrame:
-    return log.agg(F.count_if(F.col("ts") >= _since(since)).alias("total_last_days"))
+    return log.agg(F.count_if(_in_window(log, since)).alias("total_last_days"))
 
 
 def daily(log: DataFrame, since: datetime, days: int) -> DataFrame:
     """Scans and findings per day in the window, newest first, at most ``days`` rows."""
     return (
-        log.where(F.col("ts") >= _since(since))
+        _windowed(log, since)
         .groupBy(F.to_date("ts").alias("date"))
         .agg(F.count("*").alias("scans"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"))
         .orderBy(F.desc("date"))
@@ -94,7 +103,7 @@ def daily(log: DataFrame, since: datetime, days: int) -> DataFrame:
 def by_key(log: DataFrame, since: datetime) -> DataFrame:
     """Scans and findings per key in the window, most scans first, then by key."""
     return (
-        log.where(F.col("ts") >= _since(since))
+        _windowed(log, since)
         .groupBy(F.col("key_id").alias("key"))
         .agg(F.count("*").alias("scans"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"))
         .orderBy(F.desc("scans"), "key")
@@ -117,7 +126,7 @@ def stats(log: DataFrame, since: datetime, days: int) -> DataFrame:
     give the totals, the days and the keys. The per-key section stays distributed rows,
     as its length grows with the number of keys.
     """
-    inside = F.col("ts") >= _since(since)
+    inside = _in_window(log, since)
     ok = F.col("status") == "ok"
     sums = ("n", "n_in", "f_in", "n_err", "ms", "n_ms")
     base = log.groupBy("key_id", F.to_date("ts").alias("date")).agg(

@@ -54,8 +54,12 @@ add(
 )
 
 
+def _scans_stream(spark, sf):
+    return v.scans(_Streams(spark), sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def usage_stream(spark, sf):
-    scans = v.scans(_Streams(spark), sf).withColumn("total", F.col("findings"))
+    scans = _scans_stream(spark, sf).withColumn("total", F.col("findings"))
     log = _run(spark, lambda path, state: jobs.usage_stream(scans, path, state, uq.PEPPER))
     return log.select(
         "id", uq.ts_text(), "ip_hash", "findings", "status", F.col("ts_date").cast("string").alias("ts_date")
@@ -105,7 +109,7 @@ add("ST04_quota_stream", quota_stream, uq._QUOTA)
 
 
 def totals_stream(spark, sf):
-    totals = jobs.totals_stream(v.scans(_Streams(spark), sf))
+    totals = jobs.totals_stream(_scans_stream(spark, sf))
     updates = _run(spark, lambda path, state: jobs.write_batches(totals, path, state, mode="update"))
     # Every update carries the new totals of its day and key: the latest one holds.
     newest = updates.groupBy("date", "key_id").agg(

@@ -96,7 +96,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda c, m: F.when(failed, 0).otherwise(F.col(c) % m).cast("int")
     return e.select(
         F.col("event_id").alias("id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key_id"),
         F.col("user_id").alias("owner_id"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("ip"),

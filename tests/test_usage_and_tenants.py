@@ -179,6 +179,19 @@ def test_daily_window_drops_the_oldest_date(spark):
     assert {r.item: r.value for r in stats} == {"total_all_time": 0, "total_last_days": 0, "errors": 0, "avg_duration_ms": 0}
 
 
+def test_window_prunes_days_and_reaches_the_reader(spark, tmp_path):
+    log = spark.range(40).select(
+        "id", (F.lit("2024-03-10 12:00:00").cast("timestamp") - F.make_dt_interval(F.col("id") % 20)).alias("ts"),
+        F.lit("k").alias("key_id"), F.lit(2).alias("findings"),
+    )
+    tables.append_usage(log, str(tmp_path / "log"))
+    recent = usage.daily(tables.read_usage(spark, str(tmp_path / "log")), datetime(2024, 3, 8, 12, 0), 14)
+    assert [(str(r.date), r.scans) for r in recent.collect()] == [("2024-03-10", 2), ("2024-03-09", 2), ("2024-03-08", 2)]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "ts_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts" in plan
+
+
 def test_admission(spark):
     bodies = {
         "none": '{"filename": "a"}', "list": "[1]", "text": "oops", "null": '{"code": null}', "number": '{"code": 1}',
