@@ -16,7 +16,7 @@ def con():
     return duck(SF_TINY)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, con, name):
     found = compare(spark, con, QUERIES[name], ORACLES[name], SF_TINY)
     assert found is None or (found == "no rows" and name in SPARSE)
