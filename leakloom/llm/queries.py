@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import common, sharding
+from leakloom.llm import common, licenses, packing, sharding
+
+#: File name of the vocabulary below the folder of the installed public tokenizers.
+VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +27,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens; id 1 closes a document."""
+    packed = packing.pack(common.table(spark, sf_dir, "documents"), vocabulary(), end_id=1, window=2048)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of the licence templates in whole documents."""
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
