@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import common, licenses, packing, sharding
+from leakloom.llm import common, licenses, lines, packing, sharding
 
 #: File name of the vocabulary below the folder of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,3 +48,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches of the licence templates in whole documents."""
     return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 20 or more code points that three or more documents share, kept in the last one."""
+    done = lines.dedup(common.table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+    return done.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+shared AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key
+           HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.*, s.key IS NOT NULL AND l.doc_id <> s.keeper AS dropped FROM lines l LEFT JOIN shared s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
