@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import common, licenses, lines, packing, sharding
+from leakloom.llm import common, licenses, lines, packing, sharding, simhash
 
 #: File name of the vocabulary below the folder of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,3 +69,10 @@ marked AS (SELECT l.*, s.key IS NOT NULL AND l.doc_id <> s.keeper AS dropped FRO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
