@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import common, licenses, lines, packing, sharding, simhash
+from leakloom.llm import common, licenses, lines, mixing, packing, quality, sharding, simhash, urls
 
 #: File name of the vocabulary below the folder of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -76,3 +76,43 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and quality of the labelled rows that a model may learn from; the others are held out."""
+    known = common.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return known.where(~held_out(F.col("doc_id")))
+
+
+def held_out(doc_id):
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of the ids is held out from fitting."""
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality_labels(spark, sf_dir))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rules, else by trees that were trained on the URLs the rules judge."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    ruled = urls.judged(urls.parsed(pages), urls.RULES).select(F.col("_url").alias("url"), F.col("ruled").alias("label"))
+    found = urls.fit(ruled.where("label IS NOT NULL")).apply(pages)
+    return found.select("doc.page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and draw of every document, raked to flattened shares of sources, languages and topics."""
+    mixed = mixing.mix(common.table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept"
+    )
+
+
+ORACLES["op7_mixing"] = mixing.oracle()
