@@ -129,7 +129,7 @@ class Filter(NamedTuple):
             scored = found.withColumn("_p", F.lit(float(self.verdict == "block")))
         else:
             rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(with_features(found, self.suffixes))
-            scored = self.trees.transform(rows).withColumn("_p", vector_to_array("_probability")[1])
+            scored = self.trees.transform(rows).withColumn("_p", vector_to_array("probability")[1])
         method = F.when(F.col("_p") >= 0.5, "block").otherwise("allow")
         return scored.select(
             "doc", "host", "path", "rule",
@@ -163,7 +163,6 @@ def fit(
         return Filter(tuple(rules), suffixes, None, "block" if classes["high"] else "allow")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(with_features(found.drop("suffix"), suffixes))
     model = GBTClassifier(
-        featuresCol="_x", labelCol="y", predictionCol="_label", probabilityCol="_probability", rawPredictionCol="_raw",
-        maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3,
-    ).fit(rows.select("_x", "y"))
+        featuresCol="_x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3
+    ).fit(rows.select("_x", "y"))
     return Filter(tuple(rules), suffixes, model, "allow")
