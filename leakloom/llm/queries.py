@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import common, licenses, lines, mixing, packing, quality, sharding, simhash, urls
+from leakloom.llm import common, licenses, lines, mixing, packing, quality, rules, sharding, simhash, urls
 
 #: File name of the vocabulary below the folder of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -116,3 +116,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_mixing"] = mixing.oracle()
+
+
+@query
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base limits and robust outliers of every document."""
+    return rules.judge(common.table(spark, sf_dir, "documents"))
