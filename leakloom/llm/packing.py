@@ -10,10 +10,10 @@ that it touches. Only the last window has padding.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -21,21 +21,19 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from leakloom.llm import common
 
 #: Bounds of the word cache of a Python worker: entries, and characters in their keys.
-CACHE_WORDS, CACHE_CHARS = 500_000, 16_000_000
-#: Documents of one output batch.
-SLICE = 512
-
-# White space other than single inner blanks and line ends: such texts are encoded whole.
-_IRREGULAR = re.compile(r"[ \n]{2}|^[ \n]|[ \n]\Z|[^\S \n]")
+CACHE_WORDS, CACHE_CHARS = 700_000, 16_000_000
+#: Documents encoded together, and new words in one string for the tokenizer.
+SLICE, STRING = 512, 2_000
 
 
 class CachedEncoder:
-    """Token ids of a text as little-endian 32-bit integers, the same as encoding it whole.
+    """Token ids of texts as little-endian 32-bit integers, the same as encoding each whole.
 
-    The vocabulary's pre-tokenizer never joins characters across a single blank or line
-    end that stands between other characters, so the ids of such a text are those of its
-    words, each with the blank or line end before it. Words are encoded once and kept.
-    Strings of special tokens are ordinary text.
+    A byte-level vocabulary never joins characters across a single blank or line end that
+    stands between other characters, so the ids of a text are those of its words, each with
+    the blank or line end before it. Words are encoded once and kept; new words are encoded
+    many at a time, and cut where a token begins with a blank or line end. Texts with other
+    white space are encoded whole. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -44,7 +42,11 @@ class CachedEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._words: dict[str, bytes] = {}
+        words = self._tokenizer.get_vocab()
+        self._begins = np.zeros(max(words.values()) + 1, bool)
+        # Byte-level vocabularies write a blank as U+0120 and a line end as U+010A.
+        self._begins[[i for w, i in words.items() if w[0] in "\u0120\u010a"]] = True
+        self._known: dict[str, bytes | None] = {}
         self._chars = 0
         self._line_end = len(self._encode(["\n"])[0])
 
@@ -52,25 +54,34 @@ class CachedEncoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _IRREGULAR.search(text):
-            return self._encode([text])[0]
+    def _learn(self, words: set[str]) -> None:
+        """None for a word with white space in it, or none but that: its text is encoded whole."""
+        new = words.difference(self._known)
+        if len(self._known) + len(new) > CACHE_WORDS or self._chars > CACHE_CHARS:
+            self._known.clear()
+            self._chars = 0
+            new = words
+        plain = [w for w in new if [w[1:] if w[:1] == "\n" else w] == w.split()]
+        self._known.update(dict.fromkeys(new))
+        self._chars += sum(map(len, new))
+        strings = [plain[i : i + STRING] for i in range(0, len(plain), STRING)]
+        joined = ["".join([w if w[0] == "\n" else f" {w}" for w in x]) for x in strings]
+        for some, data in zip(strings, self._encode(joined)):
+            cuts = (np.flatnonzero(self._begins[np.frombuffer(data, "<u4")]) * 4).tolist()
+            assert len(cuts) == len(some)
+            self._known.update(zip(some, [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)])]))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         # Every line begins with its "\n"; other words stand for themselves after a blank.
-        words = f"\n{text}".replace("\n", " \n").split(" ")[1:]
-        known = self._words
-        try:
-            ids = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE_WORDS or self._chars > CACHE_CHARS:
-                known.clear()
-                self._chars = 0
-            new = [w for w in set(words) if w not in known]
-            known.update(zip(new, self._encode([w if w[0] == "\n" else f" {w}" for w in new])))
-            self._chars += sum(map(len, new))
-            ids = b"".join(map(known.__getitem__, words))
-        return ids[self._line_end :]
+        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        self._learn(set().union(*split))
+        out, known = [], self._known
+        for text, words in zip(texts, split):
+            try:
+                out.append(b"".join(map(known.__getitem__, words))[self._line_end :])
+            except TypeError:  # a word that is None
+                out.append(self._encode([text])[0])
+        return out
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -101,7 +112,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id"
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(low, SLICE)
-                ids = [of(t or "") + end for t in rows.column(1).to_pylist()]
+                ids = [x + end for x in of([t or "" for t in rows.column(1).to_pylist()])]
                 counts, starts = [len(x) // 4 for x in ids], []
                 for c in counts:
                     starts.append(at)
