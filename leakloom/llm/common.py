@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -47,11 +48,17 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a frame made by saved() that nothing reads any more."""
+    """Delete the files of a frame made by saved() that nothing reads any more.
+
+    Shuffle files of earlier plans go as well: Spark drops them once both sides have
+    collected their garbage, which long loops cannot wait for.
+    """
     spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ class Settings(NamedTuple):
     degree: int = 32  # neighbours of a node
     reverse: int = 24  # nodes that list it and take part, at most
     rounds: int = 4
-    beam: int = 320
+    beam: int = 240
     search_rounds: int = 12  # at most
     rescored: int = 64  # best of a beam that are scored exactly
     planes: int = 16
@@ -113,12 +113,11 @@ def usable(rows: DataFrame, key: str, column: str) -> DataFrame:
     one id, the smallest vector counts.
     """
     vector = F.col(column).cast("array<double>")
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     slim = rows.select(F.col(key).cast("long").alias("id"), vector.alias("vector"))
     slim = slim.where(F.col("id").isNotNull() & (F.size("vector") > 0))
-    slim = slim.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    # Not-a-number is larger than any number here.
+    slim = slim.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
     slim = slim.where(F.exists("vector", lambda x: x != 0))
-    del fine
     one = common.saved(slim.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
     longest = one.agg(F.max(F.size("vector"))).first()[0] or 0
     return one.where(F.size("vector") == longest)
@@ -227,15 +226,26 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(starts.tolist(), [*starts[1:].tolist(), len(keys)])
 
 
+def _slim(graph: DataFrame, k: int) -> DataFrame:
+    """other, vec, worst of each node."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            worst = pa.array(_worst(batch.column(2).to_pylist(), k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), worst], names=["other", "vec", "worst"])
+
+    return graph.select("id", "vec", "sims").mapInArrow(cut, "other long, vec binary, worst float")
+
+
 def _introduced(company: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
     """Pairs that met at a node and beat the worst neighbour of one of them, as lists."""
-    joined = company.join(graph.select(F.col("id").alias("other"), "vec", "sims"), "other")
+    joined = company.join(_slim(graph, s.degree), "other")
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             new = (batch.column("id").to_numpy(zero_copy_only=False), batch.column("other").to_numpy(zero_copy_only=False),
-                   decoded(batch.column("vec").to_pylist()), _worst(batch.column("sims").to_pylist(), s.degree))
+                   decoded(batch.column("vec").to_pylist()), batch.column("worst").to_numpy(zero_copy_only=False))
             if not len(new[0]):
                 continue
             if held is not None:
@@ -257,7 +267,7 @@ def _introduced(company: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
             c.append(sims[row, col])
         return _packed(*best(np.concatenate(a), np.concatenate(b), np.concatenate(c), s.degree))
 
-    rows = joined.select("id", "other", "vec", "sims").repartition("id").sortWithinPartitions("id")
+    rows = joined.select("id", "other", "vec", "worst").repartition("id").sortWithinPartitions("id")
     return rows.mapInArrow(introduce, LISTS)
 
 
@@ -335,6 +345,22 @@ def _adjacency(graph: DataFrame, s: Settings) -> DataFrame:
 BEAM = "id long, vec binary, near binary, sims binary, done binary"
 
 
+def _begun(nodes: DataFrame) -> DataFrame:
+    """Beams that hold the query's own node, to be expanded; the query's additional component is 0."""
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = batch.column(0).to_pylist(), batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([v[:-1] + b"\0" for v in batch.column(1).to_pylist()], pa.binary()),
+                 pa.array([np.int64(i).tobytes() for i in ids], pa.binary()),
+                 pa.array([np.float32(-9).tobytes()] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary())],
+                names=["id", "vec", "near", "sims", "done"],
+            )
+
+    return nodes.select("id", "vec").mapInArrow(begin, BEAM)
+
+
 def _beamed(state: DataFrame, s: Settings) -> DataFrame:
     """The next beams: the best of the old beam and what was found; done marks nodes that were expanded."""
 
@@ -406,11 +432,7 @@ def search(graph: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
     """id and near (binary, 64-bit ids from the nearest on) for the queries: a frame of ids of nodes."""
     adjacency = _adjacency(graph, s)
     first = graph.join(queries.select("id").distinct(), "id", "left_semi")
-    none = F.lit(b"").cast("binary")
-    first = first.select("id", "vec", F.coalesce("near", none).alias("near"), F.coalesce("sims", none).alias("sims"))
-    # Nothing was expanded: a byte of 0 for each neighbour.
-    zeros = F.unhex(F.repeat(F.lit("00"), (F.octet_length("near") / 8).cast("int")))
-    beams = common.saved(first.withColumn("done", zeros), "beams")
+    beams = common.saved(_begun(first), "beams")
     for _ in range(s.search_rounds):
         frontier = common.saved(_frontier(beams, s), "frontier")
         if frontier.isEmpty():

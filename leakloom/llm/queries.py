@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import common, licenses, lines, mixing, packing, quality, rules, sharding, simhash, urls
+from leakloom.llm import common, licenses, lines, mixing, neighbours, packing, quality, rules, sharding, simhash, urls
 
 #: File name of the vocabulary below the folder of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -122,3 +122,10 @@ ORACLES["op7_mixing"] = mixing.oracle()
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base limits and robust outliers of every document."""
     return rules.judge(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others, by inner product."""
+    rows = common.table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
