@@ -35,13 +35,17 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, vocabulary(), end_id=1, window=2048)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens; id 1 closes a document."""
-    packed = packing.pack(common.table(spark, sf_dir, "documents"), vocabulary(), end_id=1, window=2048)
-    return packed.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    return packed(common.table(spark, sf_dir, "documents"))
 
 
 @query
