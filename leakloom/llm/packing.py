@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from leakloom.llm import common
 
@@ -167,14 +167,15 @@ def pack(
     return pieces(tokenized(docs, vocabulary, end_id, key, text), window)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _numbers(ids: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids.to_pylist()], pa.list_(pa.int64()))
+
+
 def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
     """sequence_id, n_tokens and the padded ids (array<long>) of each sequence; groups hold `window` ids at most."""
-    numbers = F.transform(
-        F.sequence(F.lit(0), F.col("length") - 1),
-        lambda i: F.conv(F.hex(F.reverse(F.substring(F.col("ids"), (i * 4 + 1).cast("int"), F.lit(4)))), 16, 10).cast("long"),
-    )
     grouped = packed.groupBy("sequence_id").agg(
-        F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", numbers.alias("ids")))).alias("x")
+        F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", _numbers("ids").alias("ids")))).alias("x")
     )
     row = F.flatten(F.col("x.ids"))
     return grouped.select(
