@@ -196,8 +196,10 @@ def _train(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple:
     prior = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
     p = [rng.normal(0, (2 / s.size) ** 0.5, (s.size, s.hidden)), np.zeros(s.hidden),
          rng.normal(0, s.hidden**-0.5, s.hidden), np.array(np.log(prior / (1 - prior)))]
+    if not len(y):
+        p[2] = np.zeros(s.hidden)
     m, v, t = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
-    for _ in range(s.epochs if len(y) else 0):
+    for _ in range(s.epochs):
         order = rng.permutation(len(y))
         for low in range(0, len(y), 128):
             xb, yb = x[order[low : low + 128]], y[order[low : low + 128]]
