@@ -107,8 +107,8 @@ def mix(
 
     wanted gives target shares for some margins, e.g. {"lang": {"en": 1, "de": 1}}; other
     margins get their own shares, flattened. Null source or lang is a value of its own;
-    null and empty texts have no tokens and stay; repeated ids share their draw, so they
-    stay or go together; an empty table gives no rows.
+    null and empty texts have no tokens and are drawn with their cell, which stays whole if
+    none of it has tokens; repeated ids share their draw; an empty table gives no rows.
     """
     rows = classed(docs, text)
     of = weights(rows, wanted, rounds)

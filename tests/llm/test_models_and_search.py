@@ -229,7 +229,8 @@ def test_rules_keep_good_documents(spark):
 def test_mixing_of_edge_rows(edges, nothing):
     rows = mixing.mix(edges).collect()
     assert len(rows) == len(edge_rows()) and all(0 <= r.probability <= 1 for r in rows)
-    assert all(r.kept for r in rows if r.tokens == 0)
+    without = mixing.mix(edges.withColumn("text", F.lit(None).cast("string"))).collect()
+    assert all(r.kept and r.tokens == 0 for r in without)
     assert Counter((r.doc.doc_id, r.tokens) for r in rows) == Counter((d, len(plain.words(t))) for d, t in pairs(edges))
     assert mixing.mix(nothing).count() == 0
 
