@@ -66,14 +66,6 @@ def redact(match: Column) -> Column:
     )
 
 
-def count_newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def last_line(text: Column) -> Column:
-    return F.element_at(F.split(text, "\n", -1), -1)
-
-
 def decode_utf8(content: Column) -> Column:
     """Bytes to text; malformed sequences become U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))

@@ -57,20 +57,16 @@ def archive_reason(
     )
 
 
-def directory_totals(entries: DataFrame) -> DataFrame:
-    """Entry count and declared size per archive; partial sums travel, not entries."""
-    return entries.groupBy("archive").agg(
-        F.count("*").alias("n_entries"), F.sum("size").alias("total_size")
-    )
+NO_CAP = 2**31 - 1
 
 
 def cap_entries(
-    entries: DataFrame,
-    per_entry: int = catalog.MAX_FINDINGS_PER_ENTRY,
-    per_archive: int = catalog.MAX_FINDINGS_PER_ARCHIVE,
+    entries: DataFrame, per_entry: int | None = None, per_archive: int | None = None
 ) -> DataFrame:
     """Apply the result caps of an archive, walking its entries in directory order.
 
+    None is no cap.
+
     Input: archive, entry_idx, ``event`` (null, 'rejected' or 'error' for an entry that
     ends the archive), ``scanned`` (boolean) and ``n`` (findings of a scanned entry).
     Adds ``keep`` (findings that stay), ``emitted`` and ``archive_status``; entries
@@ -79,6 +75,7 @@ def cap_entries(
     The window sees one archive at a time. Only admitted archives get here, so a
     partition holds at most the admitted number of entries and no archive can be hot.
     """
+    per_entry, per_archive = (NO_CAP if x is None else x for x in (per_entry, per_archive))
     by_archive = Window.partitionBy("archive")
     earlier = by_archive.orderBy("entry_idx").rowsBetween(Window.unboundedPreceding, -1)
     counted = F.when(F.col("scanned"), F.least(F.col("n"), F.lit(per_entry))).otherwise(0)

@@ -2,8 +2,8 @@
 
 Frames: users(id, email, plan), api_keys(id, user_id, key_hash, key_prefix, rate_limit,
 revoked), requests(id, ts, route, ip, key_text). The request log is the large side. Keys
-are sent to it only after their number was checked; a longer list is joined by key, with
-Spark's adaptive handling of skew.
+are joined to it by key; Spark sends them to all tasks when their measured size allows it and
+handles skew otherwise.
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ from leakloom.functions import catalog, digests, text as tx
 from leakloom.operators import topk
 
 SCAN_ROUTES = ("code", "archive")
-# Up to this many active keys (some 100 bytes each) are sent to every executor.
-MAX_BROADCAST_KEYS = 500_000
+# Ids made from a text lie above any serial number.
+FIRST_MADE_ID = 2**60
+
+
+def made_id(hex_digest: Column) -> Column:
+    """An id from a hexadecimal digest: the same on every run, without a counter."""
+    return F.conv(F.left(hex_digest, F.lit(15)), 16, 10).cast("long") + F.lit(FIRST_MADE_ID)
 
 
 def _plan_value(plan: Column, values: dict[str, int]) -> Column:
@@ -48,14 +53,25 @@ def check_registrations(regs: DataFrame) -> DataFrame:
 
 
 def new_users(users: DataFrame, regs: DataFrame) -> DataFrame:
-    """Users to insert: unseen e-mails, with the plan of their first registration."""
-    first = regs.groupBy("email").agg(F.min_by("plan", "seq").alias("plan"))
-    return first.join(users.select("email"), "email", "left_anti")
+    """Users to insert: unseen e-mails, with the plan of their first registration.
+
+    Their id follows from the e-mail; ``created_at`` is that of the registration, where
+    registrations have it.
+    """
+    carried = [c for c in ("created_at",) if c in regs.columns]
+    first = regs.groupBy("email").agg(
+        F.min_by("plan", "seq").alias("plan"), *(F.min_by(c, "seq").alias(c) for c in carried)
+    )
+    unseen = first.join(users.select("email"), "email", "left_anti")
+    return unseen.select(made_id(F.md5("email")).alias("id"), "email", "plan", *carried)
 
 
 def upsert_users(users: DataFrame, regs: DataFrame) -> DataFrame:
-    """First write wins on the e-mail; plans of existing users stay. New ids are null."""
-    return users.unionByName(new_users(users, regs), allowMissingColumns=True)
+    """First write wins on the e-mail; plans of existing users stay."""
+    new = new_users(users, regs)
+    if "created_at" in new.columns and "created_at" not in users.columns:
+        users = users.withColumn("created_at", F.lit(None).cast(new.schema["created_at"].dataType))
+    return users.unionByName(new, allowMissingColumns=True)
 
 
 def register_keys(users: DataFrame, regs: DataFrame) -> DataFrame:
@@ -63,12 +79,15 @@ def register_keys(users: DataFrame, regs: DataFrame) -> DataFrame:
 
     The daily limit follows the plan of the user, which a registration does not change.
     """
+    digest = digests.key_digest(F.col("key_text"))
     keyed = regs.select(
         "seq", "email",
-        digests.key_digest(F.col("key_text")).alias("key_hash"),
+        made_id(digest).alias("id"),
+        digest.alias("key_hash"),
         digests.key_prefix(F.col("key_text")).alias("key_prefix"),
         _plan_value(F.col("plan"), catalog.PLAN_PER_MINUTE).alias("rate_limit"),
         F.lit(False).alias("revoked"),
+        *(c for c in ("created_at",) if c in regs.columns),
     )
     owners = upsert_users(users, regs).select(
         F.col("id").alias("user_id"), "email",
@@ -77,18 +96,37 @@ def register_keys(users: DataFrame, regs: DataFrame) -> DataFrame:
     return keyed.join(owners, "email")
 
 
-def seed_legacy(keys: DataFrame, listed: DataFrame, column: str = "env_keys") -> DataFrame:
-    """Key rows for comma-separated legacy keys whose digest is not stored yet."""
+def legacy_user(users: DataFrame) -> DataFrame:
+    """The owner of legacy keys, id and e-mail: the stored user, or the one to insert."""
+    spark = users.sparkSession
+    own = spark.range(1).select(F.lit(catalog.LEGACY_EMAIL).alias("email"))
+    stored = users.where(F.col("email") == catalog.LEGACY_EMAIL).groupBy("email").agg(F.min("id").alias("id"))
+    return own.join(stored, "email", "left").select(
+        F.coalesce("id", made_id(F.md5("email"))).alias("id"), "email",
+        F.lit(catalog.DEFAULT_PLAN).alias("plan"), F.col("id").isNull().alias("is_new"),
+    )
+
+
+def seed_legacy(
+    keys: DataFrame, listed: DataFrame, users: DataFrame, column: str = "env_keys"
+) -> DataFrame:
+    """Key rows for comma-separated legacy keys whose digest is not stored yet.
+
+    They belong to the legacy user; see ``legacy_user`` for its own row.
+    """
     parts = listed.select(F.explode(F.split(column, ",")).alias("k")).select(
         tx.strip(F.col("k")).alias("k")
     )
     rows = parts.where(F.col("k") != "").distinct().select(
         F.lit(catalog.LEGACY_EMAIL).alias("email"),
+        made_id(digests.key_digest(F.col("k"))).alias("id"),
         digests.key_digest(F.col("k")).alias("key_hash"),
         digests.key_prefix(F.col("k")).alias("key_prefix"),
         F.lit(catalog.PLAN_PER_MINUTE[catalog.DEFAULT_PLAN]).alias("rate_limit"),
+        F.lit(False).alias("revoked"),
     )
-    return rows.join(keys.select("key_hash"), "key_hash", "left_anti")
+    owner = legacy_user(users).select(F.col("id").alias("user_id"), "email")
+    return rows.join(keys.select("key_hash"), "key_hash", "left_anti").join(F.broadcast(owner), "email")
 
 
 # --- key administration -----------------------------------------------------------
@@ -127,14 +165,6 @@ def _anywhere() -> Column:
     return F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))
 
 
-def broadcast_if_short(table: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """Mark a table for broadcast if it has at most ``max_rows`` rows.
-
-    Counting stops right after the bound, so the check stays cheap for long tables.
-    """
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
-
-
 # --- callers of requests ----------------------------------------------------------
 
 
@@ -143,13 +173,13 @@ def with_caller(
     keys: DataFrame,
     users: DataFrame,
     legacy: tuple[str, ...] = (),
-    max_broadcast: int = MAX_BROADCAST_KEYS,
 ) -> DataFrame:
     """Add who is behind each request: user_id, email, plan, caller_key_id, caller_prefix,
     caller_rate (null unless registered and active), ``legacy``, ``caller`` (label) and
     ``valid`` (no key, or a key that is known)."""
     active = (
         keys.where(~F.col("revoked"))
+        .select("id", "user_id", "key_hash", "key_prefix", "rate_limit")
         .join(users.select(F.col("id").alias("user_id"), "email", "plan"), "user_id")
         .select(
             "key_hash", "user_id", "email", "plan",
@@ -163,7 +193,7 @@ def with_caller(
     called = requests.withColumn("_key", key).withColumn(
         "key_hash", F.coalesce(digests.key_digest(F.col("_key")), _anywhere())
     )
-    joined = called.join(broadcast_if_short(active, max_broadcast), "key_hash", "left")
+    joined = called.join(active, "key_hash", "left")
     registered = F.col("user_id").isNotNull()
     is_legacy = F.coalesce(~registered & F.col("_key").isin(*legacy), F.lit(False)) if legacy \
         else F.lit(False)
@@ -270,9 +300,15 @@ def rate_counts(limited: DataFrame) -> DataFrame:
     )
 
 
-def rate_violations(limited: DataFrame, max_limit: int = catalog.LEGACY_PER_MINUTE) -> DataFrame:
-    """The requests above the limit of their minute, in order of arrival."""
+def rate_violations(limited: DataFrame) -> DataFrame:
+    """The requests above the limit of their minute, in order of arrival.
+
+    Limits of any size; a limit of 0 or less refuses every request of its minute. Only
+    minutes with more requests than their limit are looked at again after the counts.
+    """
     df = limited.withColumn("minute", F.date_trunc("minute", "ts"))
     keys = ["route", "bucket", "minute"]
-    cut = topk.nth_per_group(df, keys, ["ts", "id"], F.col("minute_limit"), max_limit, "id")
-    return df.join(cut, keys).where(F.struct("ts", "id") > F.col("cutoff")).drop("cutoff")
+    second = F.date_trunc("second", "ts")
+    cut = topk.position_after(df, keys, ["ts", "id"], second, F.col("minute_limit"))
+    after = F.col("cutoff").isNull() | (F.struct("ts", "id") > F.col("cutoff"))
+    return df.join(cut, keys).where(after).drop("cutoff")

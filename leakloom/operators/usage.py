@@ -16,7 +16,6 @@ LOG_COLUMNS = (
     "id", "ts", "key_id", "ip_hash", "size", "findings", *catalog.SEVERITIES,
     "duration_ms", "status", "owner_id",
 )
-DEFAULT_DAYS, MAX_DAYS = 14, 90
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -86,7 +85,7 @@ def total_scans(log: DataFrame) -> DataFrame:
 
 
 def scans_since(log: DataFrame, since: datetime) -> DataFrame:
-    return log.agg(F.count_if(_in_window(log, since)).alias("total_last_days"))
+    return _windowed(log, since).agg(F.count("*").alias("total_last_days"))
 
 
 def daily(log: DataFrame, since: datetime, days: int) -> DataFrame:
@@ -122,9 +121,10 @@ def mean_duration(log: DataFrame) -> DataFrame:
 def stats(log: DataFrame, since: datetime, days: int) -> DataFrame:
     """All statistics in one long frame: section, item, scans, findings, value.
 
-    The log is read once and reduced to sums per key and day; grouping sets over those
-    give the totals, the days and the keys. The per-key section stays distributed rows,
-    as its length grows with the number of keys.
+    The log is reduced to sums per key and day; grouping sets over those give the totals,
+    the days and the keys. The per-key section stays distributed rows, as its length grows
+    with the number of keys. Which days are the newest is one row, found from the times of
+    the window alone, so the rows of keys are neither ranked nor moved again.
     """
     inside = _in_window(log, since)
     ok = F.col("status") == "ok"
@@ -179,12 +179,9 @@ def stats(log: DataFrame, since: datetime, days: int) -> DataFrame:
         grouped.where(is_total | (F.col("n_in") > 0))
         .select(F.inline(F.when(is_total, F.array(*totals)).otherwise(F.array(group))))
     )
-    # Days are ranked among themselves; every other row is alone in its partition.
-    alone = F.when(F.col("section") != "daily", F.col("item"))
-    newest = Window.partitionBy("section", alone).orderBy(F.desc("item"))
-    return listed.withColumn("_nth", F.row_number().over(newest)).where(
-        F.col("_nth") <= days
-    ).drop("_nth")
+    dates = _windowed(log, since).select(F.to_date("ts").alias("d")).distinct()
+    first = dates.orderBy(F.desc("d")).limit(days).agg(F.min("d").cast("string")).scalar()
+    return listed.where((F.col("section") != "daily") | (F.col("item") >= first))
 
 
 def latest(log: DataFrame, limit: int = 50) -> DataFrame:

@@ -9,9 +9,11 @@ from leakloom.operators import entries as en, findings as fd, report
 from leakloom.sources import archives as src
 
 
-def directories(archives: DataFrame) -> DataFrame:
+def directories(archives: DataFrame, **limits: int) -> DataFrame:
     """Admission of whole archives: adds ``entries`` and ``reason``; keeps ``content``.
 
+    ``limits`` are those of ``entries.archive_reason``.
+
     The entries of an archive that is not admitted are dropped here, unread.
     """
     listed = archives.withColumn("_dir", src.list_entries(F.coalesce("content", F.lit(b""))))
@@ -19,7 +21,7 @@ def directories(archives: DataFrame) -> DataFrame:
         "_dir.entries", F.lit(0).cast("bigint"), lambda acc, e: acc + e["size"]
     )
     reason = en.archive_reason(
-        F.col("n_bytes"), F.col("_dir.is_zip"), F.size("_dir.entries"), total
+        F.col("n_bytes"), F.col("_dir.is_zip"), F.size("_dir.entries"), total, **limits
     )
     listed = listed.select(
         "archive", "n_bytes", "content", "_dir", reason.alias("reason"),
@@ -95,20 +97,20 @@ def entry_rows(dirs: DataFrame) -> DataFrame:
 
 def scan_entries(
     rows: DataFrame,
-    per_entry: int = catalog.MAX_FINDINGS_PER_ENTRY,
-    per_archive: int = catalog.MAX_FINDINGS_PER_ARCHIVE,
+    per_entry: int | None = None,
+    per_archive: int | None = None,
     with_reports: bool = False,
 ) -> DataFrame:
-    """Scan entry rows, then apply the caps.
+    """Scan entry rows, then apply the caps (None: no cap).
 
     Code stays behind before the shuffle by archive; of a report only the snippets travel,
     its fixed texts are filled in afterwards.
     """
     rows = rows.withColumn("code", F.when(F.col("scanned"), F.col("code")).otherwise(""))
     found = fd.with_findings(rows)
-    sized = found.withColumns(
-        {"n": F.size("findings"), "findings": F.slice("findings", 1, per_entry)}
-    )
+    sized = found.withColumn("n", F.size("findings"))
+    if per_entry is not None:
+        sized = sized.withColumn("findings", F.slice("findings", 1, per_entry))
     if with_reports:
         sized = report.with_snippets(sized)
     capped = en.cap_entries(sized.drop("code"), per_entry, per_archive)
@@ -120,13 +122,24 @@ def scan_entries(
     return capped
 
 
-def scan_archives(archives: DataFrame, with_reports: bool = True) -> DataFrame:
+def scan_archives(
+    archives: DataFrame,
+    with_reports: bool = True,
+    per_entry: int | None = None,
+    per_archive: int | None = None,
+    **admission: int,
+) -> DataFrame:
     """One row per archive: its status and, when it is 'ok', counts and nested results.
 
+    ``per_entry`` and ``per_archive`` cap the findings, ``admission`` sets the limits of
+    ``entries.archive_reason``. The nested list is bounded by the admitted entries and the
+    caps; without caps, read entries as flat rows from ``scan_entries`` instead.
+
     Other statuses: 'rejected' (with the failed admission check, or an unsafe path) and
     'error' (damaged directory or entry).
     """
-    capped = scan_entries(entry_rows(directories(archives)), with_reports=with_reports)
+    rows = entry_rows(directories(archives, **admission))
+    capped = scan_entries(rows, per_entry, per_archive, with_reports)
     fields = ("findings", "report") if with_reports else ("findings",)
     keys = ("n_bytes", "reason", "failed", "archive_status")
     results = en.archive_results(capped, keys, fields)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from leakloom.functions import catalog
 from leakloom.operators import admission, findings as fd, report
 from leakloom.sources import tables
 
@@ -14,11 +13,14 @@ def scan_files(files: DataFrame) -> DataFrame:
     return fd.with_summary(fd.with_findings(files))
 
 
-def scan_requests(
-    requests: DataFrame, limit: int = catalog.MAX_FINDINGS_PER_SCAN
-) -> DataFrame:
-    """Admitted requests to scan results, one nested row each. No shuffle is involved."""
+def scan_requests(requests: DataFrame, limit: int | None = None) -> DataFrame:
+    """Admitted requests to scan results, one nested row each. No shuffle is involved.
+
+    ``limit`` caps the findings of a request; without it all stay.
+    """
     found = fd.with_findings(tables.code_table(requests), limit)
+    if limit is None:
+        found = found.withColumn("findings_truncated", F.lit(False))
     return report.with_report(fd.with_summary(found)).withColumn("status", F.lit("ok"))
 
 

@@ -8,19 +8,6 @@ from leakloom.functions import catalog, text as tx
 from leakloom.operators import usage
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Share a freshly read table among all cores when it comes in too few splits.
-
-    Scanning is bound by the processor, and a file with one large row group is one split.
-    A table of many splits, as any large one is, passes through without a shuffle.
-    Only for plain reads: it asks Spark for the splits of the plan.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.isStreaming or table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores)
-
-
 def code_table(df: DataFrame) -> DataFrame:
     """A table with ``code``; a missing file name column or value takes the default."""
     if "filename" not in df.columns:

@@ -21,7 +21,7 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def scan_stream(requests: DataFrame, limit: int = catalog.MAX_FINDINGS_PER_SCAN) -> DataFrame:
+def scan_stream(requests: DataFrame, limit: int | None = None) -> DataFrame:
     """Continuous scan. Scanning works inside each row, so it streams without state."""
     return scan.scan_requests(requests, limit)
 
@@ -39,7 +39,7 @@ def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def write_batches(
-    stream: DataFrame, path: str, checkpoint: str, transform=None, mode: str = "append"
+    stream: DataFrame, path: str, checkpoint: str, transform=None, mode: str = "append", done=None
 ) -> StreamingQuery:
     """Write every micro-batch to its own ``batch_id=N`` folder.
 
@@ -53,6 +53,8 @@ def write_batches(
             out.write.mode("overwrite").partitionBy("ts_date").parquet(target)
         else:
             out.write.mode("overwrite").parquet(target)
+        if done:
+            done()
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -69,10 +71,19 @@ def usage_stream(scans: DataFrame, path: str, checkpoint: str, pepper: str | Non
     return write_batches(rows, path, checkpoint)
 
 
-def rate_stream(limited: DataFrame, lateness: str = "2 minutes") -> DataFrame:
-    """Requests per route, bucket and clock minute, emitted once the minute is final.
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query refused because they came later than its lateness allows."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
 
-    Rows later than ``lateness`` are dropped.
+def rate_stream(limited: DataFrame, lateness: str) -> DataFrame:
+    """Requests per route, bucket and clock minute, for update mode: the newest count holds.
+
+    Minutes stay open for ``lateness``; later rows are refused and counted by ``late_rows``.
     """
     return (
         limited.withWatermark("ts", lateness)
@@ -85,8 +96,8 @@ def rate_stream(limited: DataFrame, lateness: str = "2 minutes") -> DataFrame:
     )
 
 
-def totals_stream(log: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Scans and findings per day and key, updated as rows arrive."""
+def totals_stream(log: DataFrame, lateness: str) -> DataFrame:
+    """Scans and findings per day and key, updated as rows arrive; see rate_stream for lateness."""
     return (
         log.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day"), "key_id")
@@ -105,21 +116,24 @@ def quota_stream(
 
     The log of decisions is the state, as the usage log is for single requests: a batch
     counts the accepted requests of its days in earlier batches, then decides its own
-    rows with the batch operator. Folders of other days are never read, a hot caller is
-    spread by that operator, and a repeated batch ignores its own first attempt.
+    rows with the batch operator. The days of a batch, a few, are named in the filter, so
+    that folders of other days are not read; a hot caller is spread by that operator, and a
+    repeated batch ignores its own first attempt. Looked-up rows of a batch are kept for
+    its passes; a lost part is computed again.
     """
     spark = called.sparkSession
+    kept: list[DataFrame] = []
 
     def decide(batch: DataFrame, batch_id: int) -> DataFrame:
-        batch = batch.withColumn("ts_date", F.to_date("ts"))
+        batch = batch.withColumn("ts_date", F.to_date("ts")).persist()
+        kept.append(batch)
         used = None
         if batch_id > 0:
+            days = [r[0] for r in batch.select("ts_date").distinct().collect()]
             log = spark.read.option("basePath", path).parquet(path)
-            earlier = log.where((F.col("batch_id") < batch_id) & F.col("consumed"))
-            days = batch.select("ts_date").distinct()
+            earlier = log.where(F.col("ts_date").isin(days) & (F.col("batch_id") < batch_id) & F.col("consumed"))
             used = (
-                earlier.join(days, "ts_date", "left_semi")
-                .groupBy("caller", F.col("ts_date").alias("day"))
+                earlier.groupBy("caller", F.col("ts_date").alias("day"))
                 .agg(F.count("*").alias("used"))
             )
         decided = tenants.quota_decisions(batch, limits, used)
@@ -128,4 +142,8 @@ def quota_stream(
             "id", "ts", "route", "caller", "valid", "blocked", accepted.alias("consumed"), "ts_date"
         )
 
-    return write_batches(called, path, checkpoint, decide)
+    def release() -> None:
+        while kept:
+            kept.pop().unpersist()
+
+    return write_batches(called, path, checkpoint, decide, done=release)

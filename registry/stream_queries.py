@@ -82,9 +82,12 @@ def _called_stream(spark, sf):
 
 def rate_stream(spark, sf):
     limited = tenants.with_rate_limit(_called_stream(spark, sf))
-    counts = jobs.rate_stream(limited)
-    done = _run(spark, lambda path, state: jobs.write_files(counts, path, state))
-    return done.select("route", "bucket", uq.ts_text("minute"), "requests", "minute_limit", "over")
+    counts = jobs.rate_stream(limited, lateness="1 hour")
+    updates = _run(spark, lambda path, state: jobs.write_batches(counts, path, state, mode="update"))
+    newest = updates.groupBy("route", "bucket", "minute").agg(
+        F.max_by(F.struct("requests", "minute_limit", "over"), "batch_id").alias("c")
+    )
+    return newest.select("route", "bucket", uq.ts_text("minute"), "c.*")
 
 
 add(
@@ -94,8 +97,7 @@ add(
   AS minute_limit FROM called)
 SELECT route, bucket, {uq._MINUTE}, count(*) AS requests, max(minute_limit) AS minute_limit,
   greatest(0, count(*) - max(minute_limit)) AS over
-FROM limited WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM events)
-GROUP BY 1, 2, 3""",
+FROM limited GROUP BY 1, 2, 3""",
 )
 
 
@@ -109,7 +111,7 @@ add("ST04_quota_stream", quota_stream, uq._QUOTA)
 
 
 def totals_stream(spark, sf):
-    totals = jobs.totals_stream(_scans_stream(spark, sf))
+    totals = jobs.totals_stream(_scans_stream(spark, sf), lateness="1 day")
     updates = _run(spark, lambda path, state: jobs.write_batches(totals, path, state, mode="update"))
     # Every update carries the new totals of its day and key: the latest one holds.
     newest = updates.groupBy("date", "key_id").agg(

@@ -179,28 +179,65 @@ add(
 
 _REGS = f"WITH users AS ({v.USERS_SQL}), api_keys AS ({v.API_KEYS_SQL}), regs AS ({v.REGISTRATIONS_SQL})"
 _VALID = "(email LIKE '%@%' AND length(email) <= 254 AND plan IN ('free', 'pro'))"
-_NEW = f"""new_users AS (SELECT email, arg_min(plan, seq) AS plan FROM regs WHERE {_VALID}
+_NEW = f"""new_users AS (SELECT email, arg_min(plan, seq) AS plan,
+  strftime(min(make_timestamp((1704067200 + seq) * 1000000)), '%Y-%m-%d %H:%M:%S') AS created_at FROM regs WHERE {_VALID}
   AND email NOT IN (SELECT email FROM users) GROUP BY email)"""
 
 
 def valid_regs(spark, sf):
-    return tenants.check_registrations(v.registrations(spark, sf)).where("reason IS NULL")
+    regs = v.registrations(spark, sf).withColumn("created_at", F.timestamp_seconds(F.col("seq") + 1704067200))
+    return tenants.check_registrations(regs).where("reason IS NULL")
+
+
+def _made(digest):
+    return f"(CAST('0x' || left({digest}, 15) AS BIGINT) + 1152921504606846976)"
 
 
 add(
     "K01_user_upsert",
-    lambda spark, sf: tenants.upsert_users(v.users(spark, sf), valid_regs(spark, sf)),
-    f"{_REGS}, {_NEW} SELECT id, email, plan FROM users UNION ALL SELECT NULL, email, plan FROM new_users",
+    lambda spark, sf: tenants.upsert_users(v.users(spark, sf), valid_regs(spark, sf)).withColumn("created_at", ts_text("created_at")),
+    f"""{_REGS}, {_NEW} SELECT id, email, plan, NULL AS created_at FROM users
+UNION ALL SELECT {_made("md5(email)")}, email, plan, created_at FROM new_users""",
 )
 add(
     "K02_key_registration",
-    lambda spark, sf: tenants.register_keys(v.users(spark, sf), valid_regs(spark, sf)),
-    f"""{_REGS}, {_NEW}, everyone AS (SELECT id, email, plan FROM users UNION ALL SELECT NULL, email, plan FROM new_users)
-SELECT r.seq, r.email, sha256(r.key_text) AS key_hash, left(r.key_text, 8) AS key_prefix,
+    lambda spark, sf: tenants.register_keys(v.users(spark, sf), valid_regs(spark, sf)).withColumn("created_at", ts_text("created_at")),
+    f"""{_REGS}, {_NEW}, everyone AS (SELECT id, email, plan FROM users UNION ALL SELECT {_made("md5(email)")}, email, plan FROM new_users)
+SELECT r.seq, r.email, {_made("sha256(r.key_text)")} AS id,
+  strftime(make_timestamp((1704067200 + seq) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at, sha256(r.key_text) AS key_hash, left(r.key_text, 8) AS key_prefix,
   CASE WHEN r.plan = 'pro' THEN 300 ELSE 30 END AS rate_limit, false AS revoked, e.id AS user_id,
   CASE WHEN e.plan = 'pro' THEN 500 ELSE 50 END AS daily_limit
 FROM regs r JOIN everyone e USING (email) WHERE r.email LIKE '%@%' AND r.plan IN ('free', 'pro')""",
 )
+
+
+def key_lifecycle(spark, sf):
+    """Register keys, use them, revoke some by id, use them again."""
+    regs = valid_regs(spark, sf)
+    users, keys = v.users(spark, sf), v.api_keys(spark, sf)
+    everyone = tenants.upsert_users(users, regs)
+    stored = keys.unionByName(tenants.register_keys(users, regs), allowMissingColumns=True)
+    calls = regs.select(
+        F.col("seq").alias("id"), F.timestamp_seconds(F.col("seq")).alias("ts"), F.lit("code").alias("route"),
+        F.lit("10.0.0.1").alias("ip"), "key_text",
+    )
+    before = tenants.with_caller(calls, stored, everyone)
+    gone = before.where(F.col("id") % 3 == 0).select(F.col("caller_key_id").alias("id"))
+    after = tenants.with_caller(calls, tenants.revoke(stored, gone, by="id"), everyone)
+    return before.select(F.col("id").alias("seq"), "user_id", "caller", "valid").join(
+        after.select(F.col("id").alias("seq"), F.col("caller").alias("caller_after"), F.col("valid").alias("valid_after")), "seq"
+    )
+
+
+add(
+    "K02_key_lifecycle",
+    key_lifecycle,
+    f"""{_REGS}, {_NEW}, everyone AS (SELECT id, email FROM users UNION ALL SELECT {_made("md5(email)")}, email FROM new_users)
+SELECT r.seq, e.id AS user_id, 'user:' || r.email || ' key:' || left(r.key_text, 8) AS caller, true AS valid,
+  CASE WHEN r.seq % 3 = 0 THEN 'anon' ELSE 'user:' || r.email || ' key:' || left(r.key_text, 8) END AS caller_after,
+  r.seq % 3 <> 0 AS valid_after
+FROM regs r JOIN everyone e USING (email) WHERE r.email LIKE '%@%' AND r.plan IN ('free', 'pro')""",
+)
 add(
     "K03_registration_check",
     lambda spark, sf: tenants.check_registrations(v.registrations(spark, sf)).select("seq", "email", "plan", "reason"),
@@ -279,11 +316,12 @@ def legacy_lists(spark, sf):
 
 add(
     "K08_legacy_seed",
-    lambda spark, sf: tenants.seed_legacy(v.api_keys(spark, sf), legacy_lists(spark, sf)),
+    lambda spark, sf: tenants.seed_legacy(v.api_keys(spark, sf), legacy_lists(spark, sf), v.users(spark, sf)),
     f"""WITH api_keys AS ({v.API_KEYS_SQL}), listed AS (
   SELECT 'k_' || left(md5(CAST(c_custkey * 2 AS VARCHAR)), 18) AS k FROM customer
   UNION SELECT 'old_' || CAST(c_custkey // 2 AS VARCHAR) FROM customer)
-SELECT sha256(k) AS key_hash, 'legacy@local' AS email, left(k, 8) AS key_prefix, 30 AS rate_limit
+SELECT sha256(k) AS key_hash, 'legacy@local' AS email, left(k, 8) AS key_prefix, 30 AS rate_limit, false AS revoked,
+  {_made("sha256(k)")} AS id, {_made("md5('legacy@local')")} AS user_id
 FROM listed WHERE sha256(k) NOT IN (SELECT key_hash FROM api_keys)""",
 )
 add("K09_owner", lambda spark, sf: called(spark, sf).select("id", F.col("user_id").alias("owner_id")),
@@ -372,6 +410,14 @@ def tightened(spark, sf):
     return routed(spark, sf).withColumn("minute_limit", F.lit(1))
 
 
+def crowded(spark, sf):
+    """All requests of a day in one minute per address, with limits of 0, 1, 2, 301 and more."""
+    limit = F.element_at(F.array(*map(F.lit, (0, 1, 2, 301, 350))), (F.dayofyear("ts") % 5 + 1).cast("int"))
+    return called(spark, sf).select(
+        "id", F.date_trunc("day", "ts").alias("ts"), F.lit("code").alias("route"), F.lit("all").alias("bucket"), limit.alias("minute_limit")
+    )
+
+
 _MINUTE = "strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute"
 add(
     "K17_rate_counts",
@@ -379,6 +425,14 @@ add(
     f"""{_ROUTED} SELECT route, bucket, {_MINUTE}, count(*) AS requests, 1 AS minute_limit,
   greatest(0, count(*) - 1) AS over FROM limited GROUP BY 1, 2, 3""",
 )
+add(
+    "K17_mixed_limits",
+    lambda spark, sf: tenants.rate_violations(crowded(spark, sf)).select("id", "minute_limit", ts_text("minute")),
+    f"""WITH r AS (SELECT id, date_trunc('day', ts) AS ts, ([0, 1, 2, 301, 350])[dayofyear(ts) % 5 + 1] AS minute_limit
+  FROM ({v.REQUESTS_SQL}))
+SELECT id, minute_limit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS minute FROM r
+QUALIFY row_number() OVER (PARTITION BY ts ORDER BY id) > minute_limit""",
+)
 add(
     "K17_rate_violations",
     lambda spark, sf: tenants.rate_violations(tightened(spark, sf)).select("id", "route", "bucket", ts_text("minute")),

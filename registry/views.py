@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leakloom.sources import tables
 
 FRAGMENTS: tuple[str, ...] = (
     'x = 1',
@@ -50,7 +49,7 @@ def _pick(values, index: Column) -> Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     i = F.col("doc_id")
     n = len(FRAGMENTS)
     code = F.concat_ws(

@@ -55,7 +55,7 @@ def results(spark, tmp_path_factory):
     for name, data in zips.items():
         (folder / name).write_bytes(data)
     files = src.archive_files(spark, str(folder), catalog.MAX_ARCHIVE_BYTES)
-    frame = archive_scan.scan_archives(files)
+    frame = archive_scan.scan_archives(files, per_entry=100, per_archive=500)
     return {r.archive.rsplit("/", 1)[-1]: r for r in frame.collect()}, frame
 
 

@@ -80,7 +80,8 @@ def test_cap_and_truncation(spark):
     many = "\n".join(f"pwd = 'not-a-real-{i:03d}'" for i in range(260))
     few = "eval(x)"
     files = spark.createDataFrame([(1, "a.py", many), (2, "b.py", few)], "id int, filename string, code string")
-    out = {r.id: r for r in scan.scan_requests(files).collect()}
+    out = {r.id: r for r in scan.scan_requests(files, MAX_FINDINGS_PER_SCAN).collect()}
+    assert [len(r.report) for r in scan.scan_requests(files).orderBy("id").collect()] == [260, 1]
     assert out[1].total == MAX_FINDINGS_PER_SCAN and out[1].findings_truncated
     assert out[1].summary.high == 200 and len(out[1].report) == 200
     assert out[2].total == 1 and not out[2].findings_truncated

@@ -94,14 +94,24 @@ def test_callers_and_limits(spark):
             assert r.bucket == f"ip:{r.ip}"
 
 
-def test_lookup_is_the_same_beyond_the_broadcast_bound(spark):
-    _, frame = requests(spark, 500)
+@pytest.mark.parametrize("limit, want", [(500, 300), (0, 800), (-1, 800), (799, 1), (800, 0), (1, 799)])
+def test_rate_violations_of_any_limit(spark, limit, want):
+    start = F.lit("2024-03-01 10:00:00").cast("timestamp") + F.make_dt_interval(secs=(F.col("id") % 60).cast("decimal(18,6)"))
+    flood = spark.range(800).select(
+        "id", start.alias("ts"), F.lit("code").alias("route"), F.lit("key:1").alias("bucket"), F.lit(limit).alias("minute_limit")
+    )
+    rows = sorted((r.ts, r.id) for r in flood.collect())
+    got = {r.id for r in tenants.rate_violations(flood).collect()}
+    assert got == {i for _, i in rows[max(0, limit):]} and len(got) == want
+    assert tenants.rate_counts(flood).first().over == min(want, 800 - max(limit, 0)) if limit >= 0 else True
+
+
+def test_building_a_lookup_runs_no_job(spark):
+    _, frame = requests(spark, 100)
     keys, users = directory(spark)
-    small = tenants.with_caller(frame, keys, users, ("old",))
-    large = tenants.with_caller(frame, keys, users, ("old",), max_broadcast=1)
-    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(small) and "broadcast" not in plan(large)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    tenants.with_caller(frame, keys, users, ("old",))
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
 
 
 def test_rate_violations_equal_a_count(spark):
@@ -114,7 +124,7 @@ def test_rate_violations_equal_a_count(spark):
         seen[slot] = seen.get(slot, 0) + 1
         if seen[slot] > 3:
             want.add(r.id)
-    assert {r.id for r in tenants.rate_violations(called, 300).select("id").collect()} == want and want
+    assert {r.id for r in tenants.rate_violations(called).select("id").collect()} == want and want
 
 
 def test_first_per_group_with_a_hot_group(spark):
