@@ -42,10 +42,15 @@ class Rule:
     # The same language written without nested backtracking, where the pattern has some:
     # a run that cannot contain its own terminator is taken whole or not at all.
     linear: str = ""
+    # Text that begins like a match and is none, taken whole so that it is read once. The
+    # regex then has two groups: such text, and matches.
+    skips: str = ""
 
     @property
     def regex(self) -> str:
         body = self.linear or self.pattern
+        if self.skips:
+            body = rf"({self.skips})|({body})"
         if self.cased:
             return rf"(?=[{self.starts}])(?U)(?:{body})"
         # A plain character class is a table lookup, far cheaper than case folding.
@@ -96,6 +101,8 @@ RULES: tuple[Rule, ...] = (
         # The first look-ahead is a table lookup per character and refuses most runs.
         linear=rf"""(?:postgresql?|mysql|mongodb|redis)://(?-iU:(?=[^@'"\n ]*+@))"""
         rf"(?={NOT_SPACE_QUOTE_AT}?:{NOT_SPACE_QUOTE_AT}){NOT_SPACE_QUOTE_AT}+@",
+        # Of a run that does not end with @, no later part can be a match either.
+        skips=rf"""(?:postgresql?|mysql|mongodb|redis)://[^{WS_CLASS}'"@]*+(?!@)""",
     ),
     Rule(
         5, "hardcoded_private_key", "critical", "high",
@@ -190,6 +197,11 @@ NAMESPACE_CONTEXTS: tuple[str, ...] = (
     r"(?iU)(?:Add|Append|Define|Register)Namespace|NamespaceManager",
 )
 
+# Those that may stand anywhere before the address; the others end where it begins, and
+# hold no slash, so that they never reach back over an address before.
+NAMESPACE_ANYWHERE = tuple(p for p in NAMESPACE_CONTEXTS if not p.endswith(r"\z"))
+NAMESPACE_RIGHT_BEFORE = tuple(p for p in NAMESPACE_CONTEXTS if p.endswith(r"\z"))
+
 # Hosts that only ever name XML vocabularies, with their subdomains.
 NAMESPACE_HOSTS: tuple[str, ...] = (
     "w3.org", "xmlsoap.org", "purl.org", "openxmlformats.org", "tempuri.org",

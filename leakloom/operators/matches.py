@@ -35,18 +35,35 @@ def match_column(rule: Rule) -> str:
     return f"_m{rule.id:02d}"
 
 
+def _all_of(code: Column, rule: Rule) -> Column:
+    """Matched texts in order, empty where the rule took text that is no match."""
+    return F.regexp_extract_all(code, F.lit(rule.regex), F.lit(2 if rule.skips else 0))
+
+
+def _matches_of(code: Column, rule: Rule) -> Column:
+    found = _all_of(code, rule)
+    return F.filter(found, lambda m: m != "") if rule.skips else found
+
+
+def _gaps_of(code: Column, rule: Rule) -> Column:
+    """The texts before each match, and the rest; one more than matches."""
+    if not rule.skips:
+        return F.split(F.regexp_replace(code, rule.regex, OPEN), OPEN, -1)
+    pieces = F.split(F.regexp_replace(code, rule.regex, "$1" + OPEN), OPEN, -1)
+    # Every text that was taken is followed by a token; keep those of matches.
+    kept = F.zip_with(
+        pieces, _all_of(code, rule), lambda g, m: F.when(m != "", F.concat(g, F.lit(OPEN))).otherwise(g)
+    )
+    return F.split(F.array_join(kept, ""), OPEN, -1)
+
+
 # Expressions name their columns and do not depend on a frame, so each is built once.
 
 
 @lru_cache
 def _match_columns(rules: tuple[Rule, ...]) -> list[Column]:
     code, fold = F.col("code"), F.col("_fold")
-    return [
-        F.when(gate(code, fold, r), F.regexp_extract_all(code, F.lit(r.regex), F.lit(0))).alias(
-            match_column(r)
-        )
-        for r in rules
-    ]
+    return [F.when(gate(code, fold, r), _matches_of(code, r)).alias(match_column(r)) for r in rules]
 
 
 def with_matches(df: DataFrame, rules=RULES) -> DataFrame:
@@ -66,14 +83,14 @@ def _layouts(rules: tuple[Rule, ...]) -> Column:
     per_rule = []
     for r in rules:
         found = F.col(match_column(r))
-        blanked = F.regexp_replace(_without_tokens(F.col("code")), r.regex, OPEN)
+        gaps = _gaps_of(_without_tokens(F.col("code")), r)
         per_rule.append(
             F.when(
                 F.size(found) > 0,
                 F.struct(
                     F.lit(r.id).alias("rule"),
                     found.alias("found"),
-                    F.slice(F.split(blanked, OPEN, -1), F.lit(1), F.size(found)).alias("gaps"),
+                    F.slice(gaps, F.lit(1), F.size(found)).alias("gaps"),
                 ),
             )
         )
@@ -108,13 +125,17 @@ def marked_lines(found: Column, gaps: Column) -> Column:
     return F.filter(numbered, lambda x: F.contains(x["text"], F.lit(OPEN)))
 
 
-def is_namespace_context(before: Column) -> Column:
+def _any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     hit = F.lit(False)
-    for p in catalog.NAMESPACE_CONTEXTS:
-        hit = hit | F.rlike(before, F.lit(p))
+    for p in patterns:
+        hit = hit | F.rlike(text, F.lit(p))
     return hit
 
 
+def is_namespace_context(before: Column) -> Column:
+    return _any_of(before, catalog.NAMESPACE_CONTEXTS)
+
+
 def url_host(url: Column) -> Column:
     """Host of a plain http address, lower-case, cut at the first / ? # or :"""
     return F.lower(F.regexp_extract(url, r"(?is)\A.{7}([^/?#:]*)", 1))
@@ -133,14 +154,21 @@ def is_batch_token(before: Column) -> Column:
     return F.rlike(before, F.lit(catalog.BATCH_TOKEN))
 
 
-def is_suppressed(rule: Column, before: Column, match: Column, filename: Column) -> Column:
-    """Known false positives. Suppressed matches take no part in any later step."""
+def is_suppressed(
+    rule: Column, recent: Column, seen: Column, match: Column, filename: Column
+) -> Column:
+    """Known false positives. Suppressed matches take no part in any later step.
+
+    ``recent`` is the text since the previous match of the rule on the line began, which is
+    all that a pattern right before the match can reach; ``seen`` tells whether the text
+    before that held a namespace word.
+    """
     return (
         F.when(
             rule == catalog.HTTP_RULE,
-            is_namespace_host(url_host(match)) | is_namespace_context(before),
+            is_namespace_host(url_host(match)) | seen | is_namespace_context(recent),
         )
-        .when(rule == catalog.EVAL_RULE, is_batch_file(filename) | is_batch_token(before))
+        .when(rule == catalog.EVAL_RULE, is_batch_file(filename) | is_batch_token(recent))
         .otherwise(F.lit(False))
     )
 
@@ -155,24 +183,32 @@ def _after_token(piece: Column) -> Column:
 
 def _first_on_line(r: Column, text: Column, filename: Column) -> Column:
     """The first match on a marked line that is not suppressed, as (col, k); else k = -1."""
-    nothing = F.lit(-1)
-    state = lambda before, col, k: F.struct(
-        before.alias("before"), col.alias("col"), k.alias("k")
+    nothing, never = F.lit(-1), F.lit(False)
+    state = lambda recent, seen, col, k: F.struct(
+        recent.alias("recent"), seen.alias("seen"), col.alias("col"), k.alias("k")
     )
 
     def step(s, piece):
-        k = _ordinal(piece)
-        hit = ~is_suppressed(r["rule"], s["before"], F.get(r["found"], k), filename)
-        return (
-            F.when(s["k"] >= 0, s)
-            .when(hit, state(F.lit(""), F.length(s["before"]), k))
-            .otherwise(state(F.concat(s["before"], _after_token(piece)), nothing, nothing))
-        )
+        def at(k):
+            hit = ~is_suppressed(r["rule"], s["recent"], s["seen"], F.get(r["found"], k), filename)
+            # The next match begins with a letter, so a word right before it goes on.
+            seen = s["seen"] | (
+                (r["rule"] == catalog.HTTP_RULE)
+                & _any_of(F.concat(s["recent"], F.lit("h")), catalog.NAMESPACE_ANYWHERE)
+            )
+            passed = tx.let(
+                _after_token(piece), lambda t: state(t, seen, s["col"] + F.length(t), nothing)
+            )
+            return F.when(hit, state(F.lit(""), never, s["col"], k)).otherwise(passed)
+
+        return F.when(s["k"] >= 0, s).otherwise(tx.let(_ordinal(piece), at))
 
     return tx.let(
         F.split(text, OPEN, -1),
         lambda p: F.aggregate(
-            F.slice(p, F.lit(2), F.size(p)), state(F.element_at(p, 1), nothing, nothing), step
+            F.slice(p, F.lit(2), F.size(p)),
+            state(F.element_at(p, 1), never, F.length(F.element_at(p, 1)), nothing),
+            step,
         ),
     )
 
