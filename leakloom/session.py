@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,14 +28,8 @@ def build(app: str = "leakloom", master: str | None = None, **conf) -> SparkSess
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors can reach.
-
-    Only a local master may fall back to a folder of this machine.
-    """
+    """A fresh folder below spark.checkpoint.dir, which all executors can reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="leakloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

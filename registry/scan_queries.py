@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leakloom import session
 from leakloom.functions import catalog, text as tx
 from leakloom.functions.catalog import RULES
 from leakloom.operators import admission, entries as en, findings as fd, matches, report
@@ -42,7 +41,7 @@ add(
 
 def file_tree(spark, sf):
     """Documents written as one file each, then read back as a file tree."""
-    path = session.shared_dir(spark, "files")
+    path = v.work_dir(spark, "files")
     docs = v.table(spark, sf, "documents").select(F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value"))
     docs.coalesce(1).sortWithinPartitions("value").write.option("maxRecordsPerFile", 1).text(path)
     files = tables.file_tree(spark, path, "*.txt")
@@ -160,21 +159,28 @@ add(
 
 
 def nested_sink(spark, sf):
-    path = session.shared_dir(spark, "results")
+    path = v.work_dir(spark, "results")
     results = scan.scan_requests(v.corpus(spark, sf))
     tables.write_results(scan.scan_document(results, "doc_id"), path)
     back = spark.read.schema(scan.scan_document(results, "doc_id").schema).json(path)
-    return (
-        back.select("doc_id", "file", "total", F.explode("findings").alias("f"))
-        .select("doc_id", "file", "total", "f.type", "f.line", "f.column", "f.match")
+    pairs = F.explode(F.arrays_zip("findings", "report")).alias("x")
+    counts = [F.col(f"summary.{s}").alias(s) for s in catalog.SEVERITIES]
+    return back.select("doc_id", "file", "total", *counts, pairs).select(
+        "doc_id", "file", "total", *catalog.SEVERITIES, "x.findings.type", "x.findings.line", "x.findings.column",
+        "x.findings.match", "x.report.severity_raw", "x.report.titlu", "x.report.match_redactat",
     )
 
 
+_COUNTS = ", ".join(
+    f"CAST(count(*) FILTER (severity = '{s}') OVER (PARTITION BY doc_id) AS INT) AS {s}" for s in catalog.SEVERITIES
+)
+_TITLES = f"templates(type, title) AS (VALUES {', '.join(f'({q(k)}, {q(t[0])})' for k, t in catalog.TEMPLATES.items())})"
 add(
     "S11_nested_sink",
     nested_sink,
-    f"""{sq.with_findings()} SELECT doc_id, filename AS file,
-  CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total, type, line, "column", match FROM findings""",
+    f"""{sq.with_findings()}, {_TITLES} SELECT doc_id, filename AS file,
+  CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total, {_COUNTS}, f.type, line, "column", match,
+  severity AS severity_raw, title AS titlu, match AS match_redactat FROM findings f JOIN templates t ON t.type = f.type""",
 )
 
 
@@ -437,22 +443,46 @@ add(
     "SELECT doc_id, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS file, 0 AS total, "
     "CAST(NULL AS INT) AS critical FROM documents WHERE doc_id % 10 = 4",
 )
+_PRODUCTION = dict(per_entry=catalog.MAX_FINDINGS_PER_ENTRY, per_archive=catalog.MAX_FINDINGS_PER_ARCHIVE)
+
+
+def torn_archives(spark, sf):
+    """Archives of which some have a damaged directory and some are no archives at all."""
+    digit = F.left(F.md5("archive"), F.lit(1))
+    damaged = F.unhex(F.replace(F.hex("content"), F.lit("504B0102"), F.lit("00000000")))
+    content = F.when(digit < "4", damaged).when(digit == "f", F.encode("archive", "UTF-8")).otherwise(F.col("content"))
+    return v.archives(spark, sf).withColumn("content", content)
+
+
 add(
     "A06_archive_outcomes",
     lambda spark, sf: archive_scan.usage_inputs(
-        archive_scan.scan_archives(
-            v.archives(spark, sf), with_reports=False,
-            per_entry=catalog.MAX_FINDINGS_PER_ENTRY, per_archive=catalog.MAX_FINDINGS_PER_ARCHIVE,
-        )
+        archive_scan.scan_archives(torn_archives(spark, sf), with_reports=False, **_PRODUCTION)
     ).drop("size"),
     _archive_sql(
         "SELECT t.archive, CAST(total AS INT) AS total, "
         + ", ".join(f"CAST(coalesce({s}, 0) AS INT) AS {s}" for s in catalog.SEVERITIES)
-        + ", 'ok' AS status FROM totals t LEFT JOIN sev USING (archive) WHERE NOT is_rejected",
+        + """, 'ok' AS status FROM totals t LEFT JOIN sev USING (archive)
+WHERE NOT is_rejected AND left(md5(archive), 1) >= '4' AND left(md5(archive), 1) <> 'f'
+UNION ALL SELECT DISTINCT archive, 0, """
+        + ", ".join("0" for _ in catalog.SEVERITIES)
+        + ", 'error' FROM entries WHERE left(md5(archive), 1) < '4'",
         catalog.MAX_FINDINGS_PER_ENTRY, catalog.MAX_FINDINGS_PER_ARCHIVE,
     ),
 )
 
+
+def archive_reports(spark, sf):
+    """Every report item of every admitted archive, through the whole plan."""
+    done = archive_scan.scan_archives(v.archives(spark, sf), **_PRODUCTION).where(F.col("status") == en.OK)
+    files = done.select("archive", F.explode("findings_by_file").alias("f"))
+    items = files.select("archive", "f.file", "f.count", F.posexplode("f.report").alias("position", "r"))
+    return items.select(
+        "archive", "file", "count", "position", "r.severity", "r.severity_raw", "r.line", "r.titlu", "r.explicatie",
+        "r.fix_prompt", "r.match_redactat", "r.snippet", "r.confidence",
+    )
+
+
 # --- reports ----------------------------------------------------------------------
 
 _TEMPLATE_ROWS = ", ".join(
@@ -514,6 +544,22 @@ SELECT doc_id, CASE severity {" ".join(f"WHEN {q(k)} THEN {q(x)}" for k, x in ca
 FROM findings f JOIN templates t USING (type)""",
 )
 
+_TEMPLATES = f"""templates(type, title, explanation, fix_prompt) AS
+  (VALUES {", ".join(f"({q(k)}, {', '.join(map(q, t))})" for k, t in catalog.TEMPLATES.items())})"""
+_LABEL = f"""CASE severity {" ".join(f"WHEN {q(k)} THEN {q(x)}" for k, x in catalog.SEVERITY_LABELS.items())} END"""
+add(
+    "A03_archive_reports",
+    archive_reports,
+    _archive_sql(
+        f""", {_TEMPLATES}, shown AS (SELECT s.archive, s.path, s.keep, r.*, string_split(c.code, chr(10)) AS ls
+  FROM seen s JOIN ranked_f r USING (doc_id) JOIN corpus c USING (doc_id) WHERE emitted AND NOT is_rejected AND r.rn <= s.keep)
+SELECT archive, path AS file, keep AS "count", CAST(rn - 1 AS INT) AS position, {_LABEL} AS severity, severity AS severity_raw,
+  line, title AS titlu, explanation AS explicatie, fix_prompt, match AS match_redactat, {_SNIPPET} AS snippet, confidence
+FROM shown f JOIN templates t USING (type)""",
+        catalog.MAX_FINDINGS_PER_ENTRY, catalog.MAX_FINDINGS_PER_ARCHIVE,
+    ),
+)
+
 # --- whole scans ------------------------------------------------------------------
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leakloom import session
 from leakloom.operators import findings as fd, tenants, usage
 from leakloom.streaming import jobs
 from registry import scan_sql as sq, usage_queries as uq, views as v
@@ -33,8 +32,8 @@ class _Streams:
 
 def _run(spark, start):
     """Start a query with fresh folders and wait until it has read everything."""
-    path = session.shared_dir(spark, "stream")
-    query = start(path, session.shared_dir(spark, "state"))
+    path = v.work_dir(spark, "stream")
+    query = start(path, v.work_dir(spark, "state"))
     query.awaitTermination()
     return spark.read.option("basePath", path).parquet(path)
 

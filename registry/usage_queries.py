@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from leakloom import session
 from leakloom.functions import catalog, digests
 from leakloom.operators import tenants, usage
 from leakloom.plans import gate
@@ -83,7 +82,7 @@ add(
 
 
 def append_sink(spark, sf):
-    path = session.shared_dir(spark, "usage")
+    path = v.work_dir(spark, "usage")
     rows = usage.log_rows(v.scans(spark, sf).withColumn("total", F.col("findings")), PEPPER)
     tables.append_usage(rows.where(F.col("status") == "ok"), path)
     tables.append_usage(rows.where(F.col("status") != "ok"), path)
