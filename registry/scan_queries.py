@@ -127,12 +127,28 @@ add(
     lambda spark, sf: v.entries(spark, sf).select("doc_id", "name", en.safe_name(F.col("name")).alias("path")),
     f"{sq.corpus_cte()}, entries AS ({v.ENTRIES_SQL}) SELECT doc_id, name, {_SAFE_SQL} AS path FROM entries",
 )
+# Every suffix and bare name that counts as code, and some that do not; with and without a stem.
+_ENDINGS = (*catalog.CODE_SUFFIXES, *catalog.BARE_NAMES, ".txt", ".pyc", ".md", "", ".JSON", "DockerFile", ".Vue")
+
+
+def scannable_names(spark, sf):
+    i = F.col("doc_id")
+    stem = F.when(i % 3 == 0, "").when(i % 3 == 1, "src/").otherwise(F.concat(F.lit("src/f"), i.cast("string")))
+    name = F.concat(stem, v._pick(_ENDINGS, i % len(_ENDINGS)))
+    return v.table(spark, sf, "documents").select("doc_id", name.alias("filename")).withColumn(
+        "scannable", en.is_scannable(F.col("filename"))
+    )
+
+
+_CODE = "|".join(x[1:] for x in catalog.CODE_SUFFIXES)
+_BARE = ", ".join(map(q, catalog.BARE_NAMES))
 add(
     "S07_scannable",
-    lambda spark, sf: v.corpus(spark, sf).select(
-        "filename", en.is_scannable(F.col("filename")).alias("scannable")
-    ),
-    f"{sq.corpus_cte()} SELECT filename, regexp_matches(filename, '\\.(py|js|cs|env)$') AS scannable FROM corpus",
+    scannable_names,
+    f"""WITH n AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'src/' ELSE 'src/f' || CAST(doc_id AS VARCHAR) END
+    || {v._sql_pick(_ENDINGS, f'doc_id % {len(_ENDINGS)}')} AS filename FROM documents),
+b AS (SELECT *, lower(regexp_replace(filename, '^.*/', '')) AS base FROM n)
+SELECT doc_id, filename, base IN ({_BARE}) OR regexp_matches(base, '^.+\\.({_CODE})$') AS scannable FROM b""",
 )
 add(
     "S08_size_filter",
