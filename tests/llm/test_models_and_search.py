@@ -285,13 +285,14 @@ def test_search_of_edge_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.5, 0.5]), (40, None), (60, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, inf]),
             (5, [1.0, None]), (6, []), (7, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0]), (-20, [-1.0, 2.0])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, near int")
-    found = neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), 3).collect()
+    small = neighbours.Settings(trees=1, rounds=1, search_rounds=3)
+    found = neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), 3, s=small).collect()
     got = {q: [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20, -20)}
     assert got == {0: [(1, 1.0), (2, 1.0), (20, 0.5)], 20: [(-20, 0.5), (0, 0.5), (1, 0.5)], -20: [(20, 0.5), (0, -1.0), (1, -1.0)]}
     assert len(found) == 9
-    assert neighbours.nearest(frame.limit(0), frame, 3).count() == 0
+    assert neighbours.nearest(frame.limit(0), frame, 3, s=small).count() == 0
     one = frame.where("vec_id = 20")
-    assert neighbours.nearest(one, one, 3).count() == 0
+    assert neighbours.nearest(one, one, 3, s=small).count() == 0
 
 
 def test_query_search(spark):
