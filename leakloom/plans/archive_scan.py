@@ -53,33 +53,34 @@ def entry_rows(dirs: DataFrame) -> DataFrame:
             ),
         ),
     )
-    wanted = F.transform(
-        F.filter(
-            "entries",
-            lambda e: e["path"].isNotNull()
-            & ~e["is_dir"]
-            & en.is_scannable(e["path"])
-            & en.is_small_enough(e["size"]),
-        ),
-        lambda e: e["entry_idx"],
+    wanted = lambda e: (
+        e["path"].isNotNull()
+        & ~e["is_dir"]
+        & en.is_scannable(e["path"])
+        & en.is_small_enough(e["size"])
+    )
+    empty = F.array().cast("array<struct<entry_idx:int,size:bigint,is_dir:boolean,path:string>>")
+    entries = F.coalesce("entries", empty)
+    picked = checked.withColumns(
+        {
+            "_read": F.filter(entries, wanted),
+            "_rest": F.filter(entries, lambda e: ~F.coalesce(wanted(e), F.lit(False))),
+        }
+    )
+    data = src.inflate(
+        F.coalesce("content", F.lit(b"")), F.transform("_read", lambda e: e["entry_idx"])
+    )
+    # Bytes meet their entry by position, so that a row holds those of one entry only.
+    item = lambda e, content, failed: F.struct(
+        e["entry_idx"].alias("entry_idx"), e["path"].alias("path"),
+        content.alias("content"), failed.alias("failed"),
     )
-    nothing = F.array().cast("array<int>")
+    read = F.zip_with("_read", "_data", lambda e, d: item(e, d["content"], d["failed"]))
+    rest = F.transform("_rest", lambda e: item(e, F.lit(None).cast("binary"), F.lit(False)))
     rows = (
-        checked.withColumn(
-            "_data",
-            src.inflate(F.coalesce("content", F.lit(b"")), F.coalesce(wanted, nothing)),
-        )
-        .withColumn(
-            "_data",
-            F.map_from_entries(F.transform("_data", lambda d: F.struct(d["entry_idx"], d))),
-        )
-        .select(*carried, "_data", F.explode_outer("entries").alias("e"))
-        .select(
-            *carried,
-            "e.entry_idx",
-            F.col("e.path").alias("filename"),
-            F.try_element_at("_data", F.col("e.entry_idx")).alias("d"),
-        )
+        picked.withColumn("_data", data)
+        .select(*carried, F.explode_outer(F.concat(read, rest)).alias("d"))
+        .select(*carried, "d.entry_idx", F.col("d.path").alias("filename"), "d")
     )
     text_file = F.coalesce(
         F.col("d.content").isNotNull() & ~en.looks_binary(F.col("d.content")), F.lit(False)
