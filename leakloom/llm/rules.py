@@ -150,6 +150,12 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * BINS)
 
 
+def _by_group(df: DataFrame, purpose: str) -> DataFrame:
+    """A table of one row per group, written as one file. Spark then knows its size before it
+    joins: as long as it is small, rows of a hot group are not moved to meet theirs."""
+    return common.saved(df.repartition(1), purpose)
+
+
 def _near(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """The nearest HALF of each group: whole distance bins, as many as hold that part of its rows."""
     placed = _distance(rows.join(estimate, list(GROUP))).withColumn("bin", _bin(F.col("d2")))
@@ -158,13 +164,16 @@ def _near(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     whole = W.partitionBy(*GROUP)
     inside = sizes.select(*GROUP, "bin", F.coalesce(F.sum("k").over(upto), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
     edge = inside.where(F.col("before") < F.col("n") * HALF).groupBy(*GROUP).agg(F.max("bin").alias("edge"))
-    return placed.join(edge, list(GROUP)).where("bin <= edge").select(*GROUP, *STATS)
+    return placed.join(_by_group(edge, "edges"), list(GROUP)).where("bin <= edge").select(*GROUP, *STATS)
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """A first estimate from medians (approximate, of mergeable sketches) and the deviations from them."""
     stats = list(STATS)
-    middle = rows.groupBy(*GROUP).agg(*(F.percentile_approx(s, 0.5, F.lit(2000)).alias(f"m{i}") for i, s in enumerate(stats)))
+    middle = rows.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n"), *(F.percentile_approx(s, 0.5, F.lit(2000)).alias(f"m{i}") for i, s in enumerate(stats))
+    )
+    middle = _by_group(middle.where(F.col("n") >= LEAST_ROWS), "medians")
     off = rows.join(middle, list(GROUP)).select(
         *GROUP, *(F.abs(F.col(s) - F.col(f"m{i}")).alias(f"o{i}") for i, s in enumerate(stats))
     )
@@ -172,7 +181,7 @@ def _start(rows: DataFrame) -> DataFrame:
         *((F.pow(F.percentile_approx(f"o{i}", 0.5, F.lit(2000)) * 1.4826, F.lit(2)) + STATS[s] ** 2).alias(f"c{i}{i}") for i, s in enumerate(stats))
     )
     flat = {f"c{i}{j}": F.lit(0.0) for i, j in _pairs(stats) if i != j}
-    return _factored(middle.join(spread, list(GROUP)).withColumns(flat).withColumn("n", F.lit(0).cast("long")))
+    return _by_group(_factored(middle.join(spread, list(GROUP)).withColumns(flat)), "estimates")
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -181,9 +190,8 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     Steps keep, for each group, the estimate with the smallest determinant so far, and end
     when no group's falls any more or after `steps`. Each is written, so plans stay short.
     """
-    large = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= LEAST_ROWS).drop("all")
-    used = rows.join(large, list(GROUP)).select(*GROUP, *STATS)
-    now = common.saved(_factored(_moments(_near(used, _start(used)))), "estimates")
+    used = rows.select(*GROUP, *STATS)
+    now = _by_group(_factored(_moments(_near(used, _start(used)))), "estimates")
     for _ in range(steps - 1):
         after = _factored(_moments(_near(used, now)))
         old = now.select(*GROUP, *(F.col(c).alias(f"_{c}") for c in now.columns if c not in GROUP))
@@ -191,7 +199,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         best = after.join(old, list(GROUP)).select(
             *GROUP, *(F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in now.columns if c not in GROUP), better.alias("_moved")
         )
-        best = common.saved(best, "estimates")
+        best = _by_group(best, "estimates")
         moved = best.where("_moved").limit(1).count()
         now = best.drop("_moved")
         if not moved:
