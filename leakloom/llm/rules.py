@@ -3,7 +3,8 @@
 Each text gives a vector of transformed statistics. For every group (language, source) a
 minimum-covariance-determinant estimate is found by concentration steps: the rows nearest
 to the current centre, by Mahalanobis distance, give the next mean and covariance, until
-the determinant no longer falls. Rows far from the final centre are rejected.
+the determinant no longer falls. Rows far from the final centre are rejected. A group with
+few rows is judged by the estimate of its language, or else by that of the whole corpus.
 
 Everything is DataFrame expressions. A step is one aggregate of counts by distance bin and
 one of sums by group, both combined before the shuffle, so a group of any size costs its
@@ -21,6 +22,8 @@ from leakloom.llm import common
 #: Words of a window, least number of words, largest share (of 100) of repeated words.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 GROUP = ("lang", "source")
+#: What an estimate is made for: level 0 is a group, 1 a language, 2 the corpus; columns left out are "".
+KEYS = ("level", *GROUP)
 NONE = "(none)"
 #: The transformed statistics, and the spread that each has at least: below it,
 #: differences say nothing about quality.
@@ -113,7 +116,7 @@ def _pairs(stats: Sequence[str]) -> list[tuple[int, int]]:
 def _moments(rows: DataFrame) -> DataFrame:
     """Rows, mean (m0, ..) and covariance (c00, c10, ..) of each group; each variance has its floor added."""
     stats = list(STATS)
-    sums = rows.groupBy(*GROUP).agg(
+    sums = rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.avg(s).alias(f"m{i}") for i, s in enumerate(stats)),
         *(F.covar_pop(stats[i], stats[j]).alias(f"c{i}{j}") for i, j in _pairs(stats)),
@@ -158,46 +161,46 @@ def _by_group(df: DataFrame, purpose: str) -> DataFrame:
 
 def _near(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """The nearest HALF of each group: whole distance bins, as many as hold that part of its rows."""
-    placed = _distance(rows.join(estimate, list(GROUP))).withColumn("bin", _bin(F.col("d2")))
-    sizes = placed.groupBy(*GROUP, "bin").agg(F.count(F.lit(1)).alias("k"))
-    upto = W.partitionBy(*GROUP).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*GROUP)
-    inside = sizes.select(*GROUP, "bin", F.coalesce(F.sum("k").over(upto), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
-    edge = inside.where(F.col("before") < F.col("n") * HALF).groupBy(*GROUP).agg(F.max("bin").alias("edge"))
-    return placed.join(_by_group(edge, "edges"), list(GROUP)).where("bin <= edge").select(*GROUP, *STATS)
+    placed = _distance(rows.join(estimate, list(KEYS))).withColumn("bin", _bin(F.col("d2")))
+    sizes = placed.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("k"))
+    upto = W.partitionBy(*KEYS).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*KEYS)
+    inside = sizes.select(*KEYS, "bin", F.coalesce(F.sum("k").over(upto), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
+    edge = inside.where(F.col("before") < F.col("n") * HALF).groupBy(*KEYS).agg(F.max("bin").alias("edge"))
+    return placed.join(_by_group(edge, "edges"), list(KEYS)).where("bin <= edge").select(*KEYS, *STATS)
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """A first estimate from medians (approximate, of mergeable sketches) and the deviations from them."""
     stats = list(STATS)
-    middle = rows.groupBy(*GROUP).agg(
+    middle = rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"), *(F.percentile_approx(s, 0.5, F.lit(2000)).alias(f"m{i}") for i, s in enumerate(stats))
     )
     middle = _by_group(middle.where(F.col("n") >= LEAST_ROWS), "medians")
-    off = rows.join(middle, list(GROUP)).select(
-        *GROUP, *(F.abs(F.col(s) - F.col(f"m{i}")).alias(f"o{i}") for i, s in enumerate(stats))
+    off = rows.join(middle, list(KEYS)).select(
+        *KEYS, *(F.abs(F.col(s) - F.col(f"m{i}")).alias(f"o{i}") for i, s in enumerate(stats))
     )
-    spread = off.groupBy(*GROUP).agg(
+    spread = off.groupBy(*KEYS).agg(
         *((F.pow(F.percentile_approx(f"o{i}", 0.5, F.lit(2000)) * 1.4826, F.lit(2)) + STATS[s] ** 2).alias(f"c{i}{i}") for i, s in enumerate(stats))
     )
     flat = {f"c{i}{j}": F.lit(0.0) for i, j in _pairs(stats) if i != j}
-    return _by_group(_factored(middle.join(spread, list(GROUP)).withColumns(flat)), "estimates")
+    return _by_group(_factored(middle.join(spread, list(KEYS)).withColumns(flat)), "estimates")
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """One robust estimate (mean, factor, logdet, n) for each group with LEAST_ROWS rows or more.
+    """One robust estimate (mean, factor, logdet, n) for each of KEYS with LEAST_ROWS rows or more.
 
     Steps keep, for each group, the estimate with the smallest determinant so far, and end
     when no group's falls any more or after `steps`. Each is written, so plans stay short.
     """
-    used = rows.select(*GROUP, *STATS)
+    used = rows.select(*KEYS, *STATS)
     now = _by_group(_factored(_moments(_near(used, _start(used)))), "estimates")
     for _ in range(steps - 1):
         after = _factored(_moments(_near(used, now)))
-        old = now.select(*GROUP, *(F.col(c).alias(f"_{c}") for c in now.columns if c not in GROUP))
+        old = now.select(*KEYS, *(F.col(c).alias(f"_{c}") for c in now.columns if c not in KEYS))
         better = F.col("logdet") < F.col("_logdet") - 1e-9
-        best = after.join(old, list(GROUP)).select(
-            *GROUP, *(F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in now.columns if c not in GROUP), better.alias("_moved")
+        best = after.join(old, list(KEYS)).select(
+            *KEYS, *(F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in now.columns if c not in KEYS), better.alias("_moved")
         )
         best = _by_group(best, "estimates")
         moved = best.where("_moved").limit(1).count()
@@ -207,17 +210,44 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return now
 
 
+def _levels(rows: DataFrame) -> DataFrame:
+    """One row per group: used, the keys whose estimates its passing rows take part in, and
+    judged, the finest of its keys with LEAST_ROWS passing rows (null if there is none).
+
+    A language or the corpus has an estimate only where some group needs it.
+    """
+    sizes = _by_group(rows.groupBy(*GROUP).agg(F.count_if(~F.col("base_failed")).alias("n")), "sizes")
+    langs = _by_group(sizes.groupBy("lang").agg(F.sum("n").alias("in_lang"), F.min("n").alias("least")), "sizes")
+    corpus = langs.agg(F.sum("in_lang").alias("in_all"), F.min("in_lang").alias("least_lang"))
+    key = lambda level, *names: F.struct(F.lit(level).alias("level"), *(n.alias(c) for c, n in zip(GROUP, names)))
+    own, lang, all_ = key(0, F.col("lang"), F.col("source")), key(1, F.col("lang"), F.lit("")), key(2, F.lit(""), F.lit(""))
+    enough = lambda n: F.col(n) >= LEAST_ROWS
+    used = F.array(
+        F.when(enough("n"), own), F.when(enough("in_lang") & ~enough("least"), lang), F.when(enough("in_all") & ~enough("least_lang"), all_)
+    )
+    judged = F.when(enough("n"), own).when(enough("in_lang"), lang).when(enough("in_all"), all_)
+    sized = sizes.join(langs, "lang").crossJoin(corpus)
+    return _by_group(sized.select(*GROUP, F.array_compact(used).alias("used"), judged.alias("judged")), "levels")
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, d2 and kept of each document.
 
     Documents that fail the base limits are not kept and take no part in the estimates.
     The others are kept unless their squared distance from their group's centre is above
-    FAR; groups with fewer than LEAST_ROWS of them have no estimate and keep all. Null
-    lang or source is a value of its own, null text has no words; repeated rows count each;
-    an empty table gives no rows. docs needs lang and source; other columns are not used.
+    FAR; where fewer than LEAST_ROWS of a group passed, the centre is that of its language,
+    and with fewer in the language that of all. Only a table with fewer in all has no
+    estimate and keeps them. Null lang or source is a value of its own, null text has no
+    words; repeated rows count each; an empty table gives no rows. docs needs lang and
+    source; other columns are not used.
     """
     rows = with_stats(counted(docs, key, text))
-    found = _distance(rows.join(estimates(rows.where("NOT base_failed")), list(GROUP), "left"))
+    levels = _levels(rows)
+    passed = rows.where("NOT base_failed").join(levels, list(GROUP)).select(F.explode("used").alias("key"), *STATS)
+    found = estimates(common.saved(passed.select("key.*", *STATS), "rule-stats"))
+    wanted = levels.select(*(F.col(c).alias(f"_{c}") for c in GROUP), "judged.*")
+    of = wanted.join(found, list(KEYS)).drop(*KEYS).withColumnsRenamed({f"_{c}": c for c in GROUP})
+    found = _distance(rows.join(_by_group(of, "estimates"), list(GROUP), "left"))
     found = found.withColumn("d2", F.col("d2") / CONSISTENCY)
     far = F.coalesce(F.col("d2") > FAR, F.lit(False))
     return found.select(

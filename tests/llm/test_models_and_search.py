@@ -209,6 +209,41 @@ def test_rules_against_numpy(spark):
         assert r.kept == (not r.base_failed and d2 <= rules.FAR)
 
 
+def test_rules_of_small_groups(spark):
+    """Groups, languages and the corpus, each the finest with enough passing rows, judge every document."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumns({
+        "lang": F.when(F.col("doc_id") % 50 == 0, "rare").otherwise(F.col("lang")),
+        "source": F.when((F.col("lang") == "en") & (F.col("doc_id") % 2 == 0), "one").otherwise(F.col("source")),
+    }).collect()
+    stats, passed = {}, {}
+    for r in docs:
+        n, chars, symbols, dup, repeats, failed = plain.rule_counts(r.text)
+        lines = sum(bool(plain.WORD.search(x)) for x in r.text.split("\n"))
+        root = lambda a, b: math.sqrt(a / b) if b else 0.0
+        stats[r.doc_id] = (math.log(chars / n) if n else 0.0, root(symbols, chars), root(dup, lines), root(repeats, n))
+        passed[r.doc_id] = not failed
+    keys = lambda r: ((r.lang, r.source), (r.lang,), ())
+    fitted = plain_distances([(k, stats[r.doc_id]) for r in docs if passed[r.doc_id] for k in keys(r)])
+    judge_of = {r.doc_id: next(k for k in keys(r) if k in fitted) for r in docs}
+    assert {len(k) for k in judge_of.values()} == {0, 1, 2}
+    found = rules.judge(spark.createDataFrame(docs)).collect()
+    assert len(found) == len(docs)
+    for r in found:
+        mean, cov = fitted[judge_of[r.doc_id]]
+        d = np.array(stats[r.doc_id]) - mean
+        d2 = d @ np.linalg.solve(cov, d) / rules.CONSISTENCY
+        assert r.d2 == pytest.approx(d2, rel=1e-6, abs=1e-9)
+        assert r.kept == (passed[r.doc_id] and d2 <= rules.FAR)
+
+
+def test_query_rules_rejects_outliers(spark):
+    """With their real sources all groups of the table are small."""
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    rows = queries.op6_rules(spark, SF_SMALL).where("NOT base_failed").join(labels, "doc_id").collect()
+    assert all(r.d2 is not None for r in rows)
+    assert sum(not r.kept for r in rows if r.quality == 0) >= 10
+
+
 def test_rules_of_edge_rows(edges, nothing):
     rows = rules.judge(edges).collect()
     want = Counter((d, *plain.rule_counts(t)) for d, t in pairs(edges))
