@@ -244,6 +244,15 @@ def test_query_rules_rejects_outliers(spark):
     assert sum(not r.kept for r in rows if r.quality == 0) >= 10
 
 
+def test_rules_reject_symbols(spark):
+    """Labelled-bad documents with clear symbols go (those here have 9% and more), all labelled-good ones stay."""
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    rows = queries.op6_rules(spark, SF_SMALL).where("NOT base_failed").join(labels, "doc_id").collect()
+    clear = [r for r in rows if r.quality == 0 and r.n_symbols > 0.05 * r.word_chars]
+    assert len(clear) > 20 and not any(r.kept for r in clear)
+    assert all(r.kept for r in rows if r.quality == 1)
+
+
 def test_rules_of_edge_rows(edges, nothing):
     rows = rules.judge(edges).collect()
     want = Counter((d, *plain.rule_counts(t)) for d, t in pairs(edges))
