@@ -2,7 +2,9 @@
 
 Vectors are divided by the largest norm and get one more component that makes them unit
 vectors; nearness among those is nearness by inner product for queries with 0 there. The
-graph works on 8-bit copies, results are scored in double precision on the originals.
+graph works on copies with 8 bits for each original component under a scale of their own,
+so that one long vector takes nothing from the others; results are scored in double
+precision on the originals.
 
 1. Start: rows sorted by the signs of random hyperplanes are cut into leaves of LEAF rows,
    once for each tree; every row takes its nearest rows in its leaf.
@@ -48,19 +50,27 @@ def _arrays(column: pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def encoded(x: np.ndarray) -> list[bytes]:
-    """Each row as a 4-byte scale and one signed byte per component."""
+def encoded(x: np.ndarray, rest: np.ndarray) -> list[bytes]:
+    """Each row as a 4-byte scale, its 4-byte additional component and one signed byte per component."""
     scale = np.maximum(np.abs(x).max(axis=1), 1e-30).astype(np.float32) / np.float32(127)
     cells = np.rint(x / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale, cells)]
+    return [s.tobytes() + r.tobytes() + c.tobytes() for s, r, c in zip(scale, rest.astype(np.float32), cells)]
 
 
 def decoded(column: list[bytes]) -> np.ndarray:
+    """The components of each row, the additional one last."""
     if not column:
         return np.empty((0, 0), np.float32)
     raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
-    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
-    return np.ascontiguousarray(raw[:, 4:]).view(np.int8) * scale
+    scale, rest = (np.ascontiguousarray(raw[:, i : i + 4]).view(np.float32) for i in (0, 4))
+    return np.c_[np.ascontiguousarray(raw[:, 8:]).view(np.int8) * scale, rest]
+
+
+def nearness(x: np.ndarray) -> np.ndarray:
+    """Inner products of decoded rows less 1, as half squared distances: short vectors differ far below 1."""
+    product, rest = x[:, :-1] @ x[:, :-1].T, x[:, -1]
+    own = np.diag(product) / 2
+    return product - own[:, None] - own - (rest[:, None] - rest) ** 2 / 2
 
 
 def best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,8 +119,8 @@ def usable(rows: DataFrame, key: str, column: str) -> DataFrame:
     """id and vector (array<double>) of the rows that take part, one for each id; written once.
 
     Null ids, null or empty vectors, zero vectors and those with null or non-finite
-    components take no part, nor do vectors shorter than the longest. Of several rows with
-    one id, the smallest vector counts.
+    components take no part, nor do vectors of another length than the commonest (ties: the
+    longer). Of several rows with one id, the smallest vector counts.
     """
     vector = F.col(column).cast("array<double>")
     slim = rows.select(F.col(key).cast("long").alias("id"), vector.alias("vector"))
@@ -119,12 +129,13 @@ def usable(rows: DataFrame, key: str, column: str) -> DataFrame:
     slim = slim.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
     slim = slim.where(F.exists("vector", lambda x: x != 0))
     one = common.saved(slim.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
-    longest = one.agg(F.max(F.size("vector"))).first()[0] or 0
-    return one.where(F.size("vector") == longest)
+    lengths = one.groupBy(F.size("vector").alias("length")).count()
+    common_one = lengths.orderBy(F.desc("count"), F.desc("length")).first()
+    return one.where(F.size("vector") == (common_one["length"] if common_one else 0))
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """id and vec: the 8-bit unit vector with its additional component; written once."""
+    """id and vec: the 8-bit copy of the vector, of length 1 at most, with its additional component; written once."""
     norm2 = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x)
     largest = (vectors.agg(F.max(norm2)).first()[0] or 1.0) ** 0.5
 
@@ -133,18 +144,19 @@ def prepared(vectors: DataFrame) -> DataFrame:
             x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1) / largest
             rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(encoded(np.c_[x, rest]), pa.binary())], names=["id", "vec"]
+                [batch.column(0), pa.array(encoded(x, rest), pa.binary())], names=["id", "vec"]
             )
 
     return common.saved(vectors.select("id", "vector").mapInArrow(prepare, "id long, vec binary"), "unit-vectors")
 
 
 def _leaves(points: DataFrame, s: Settings) -> DataFrame:
-    """Rows once for each tree, with the signs of its hyperplanes and a place along one more direction."""
+    """Rows once for each tree, with the signs of its hyperplanes and a place along one more direction, both of the direction only."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = decoded(batch.column(1).to_pylist())
+            x = decoded(batch.column(1).to_pylist())[:, :-1]
+            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-30)
             for tree in range(s.trees if len(x) else 0):
                 planes = np.random.Generator(np.random.PCG64([8, tree])).normal(size=(x.shape[1], s.planes + 1))
                 at = x @ planes.astype(np.float32)
@@ -174,7 +186,7 @@ def started(points: DataFrame, s: Settings) -> DataFrame:
 
     def within(ids: np.ndarray, vecs: list[bytes]) -> pa.RecordBatch:
         x = decoded(vecs)
-        sims = x @ x.T
+        sims = nearness(x)
         # A leaf's rows may hold an id twice where trees meet.
         sims[ids[:, None] == ids[None, :]] = -9
         k = min(s.degree, len(ids) - 1)
@@ -259,7 +271,7 @@ def _introduced(company: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
     def meet(node: np.ndarray, who: np.ndarray, x: np.ndarray, worst: np.ndarray) -> pa.RecordBatch:
         a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
         for i, j in _runs(node):
-            sims = x[i:j] @ x[i:j].T
+            sims = nearness(x[i:j])
             np.fill_diagonal(sims, -9)
             row, col = np.nonzero(sims > worst[i:j, None])
             a.append(who[i:j][row])
@@ -352,7 +364,7 @@ def _begun(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             ids, n = batch.column(0).to_pylist(), batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([v[:-1] + b"\0" for v in batch.column(1).to_pylist()], pa.binary()),
+                [batch.column(0), pa.array([v[:4] + bytes(4) + v[8:] for v in batch.column(1).to_pylist()], pa.binary()),
                  pa.array([np.int64(i).tobytes() for i in ids], pa.binary()),
                  pa.array([np.float32(-9).tobytes()] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary())],
                 names=["id", "vec", "near", "sims", "done"],
@@ -410,13 +422,13 @@ def _expanded(frontier: DataFrame, adjacency: DataFrame, s: Settings) -> DataFra
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queries = decoded(batch.column("vec").to_pylist())
+            queries = decoded(batch.column("vec").to_pylist())[:, :-1]
             own, worst = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("query", "worst"))
             a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
             for i, (near, vecs) in enumerate(zip(batch.column("near").to_pylist(), batch.column("vecs").to_pylist())):
                 who = np.frombuffer(near, np.int64)
                 raw = np.frombuffer(vecs, np.uint8).reshape(len(who), -1)
-                cells = np.ascontiguousarray(raw[:, 4:]).view(np.int8).astype(np.float32)
+                cells = np.ascontiguousarray(raw[:, 8:]).view(np.int8).astype(np.float32)
                 sims = cells @ queries[i] * np.ascontiguousarray(raw[:, :4]).view(np.float32)[:, 0]
                 hit = sims > worst[i]
                 a.append(np.full(hit.sum(), own[i]))

@@ -324,6 +324,21 @@ def test_search_recall(spark, scale):
     assert len(found) == 350 and hits / 350 >= 0.9
 
 
+def test_one_long_row_and_one_of_another_length(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[1] *= 1000
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame([*rows, (9999, [1.0] * 65)], "vec_id long, embedding array<double>")
+    small = neighbours.Settings(trees=3, leaf=128, degree=24, reverse=16, rounds=3, beam=120)
+    found = neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), 10, s=small).collect()
+    want = plain_nearest(rows, 10)
+    recall = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in found) / 750
+    print("recall", recall)
+    assert len(found) == 750 and recall >= 0.85
+
+
 def test_search_of_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.5, 0.5]), (40, None), (60, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, inf]),
