@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import common, infill, licenses, lines, mixing, neighbours, packing, quality, rules, sharding, simhash, urls
+from leakloom.llm import alignment, common, infill, licenses, lines, mixing, neighbours, packing, quality, rules, sharding, simhash, urls
 
 #: File name of the vocabulary below the folder of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
+#: The other vocabulary that texts are aligned with.
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,10 +31,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -163,3 +165,9 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
     WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
 FROM p"""
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of two vocabularies in every document, and its links by the corpus-wide numbers of their pairs."""
+    return alignment.aligned(common.table(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
