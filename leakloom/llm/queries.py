@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakloom.llm import alignment, common, infill, licenses, lines, mixing, neighbours, packing, quality, rules, sharding, simhash, urls
+from leakloom.llm import alignment, common, covertree, infill, licenses, lines, mixing, neighbours, packing, quality, rules, sharding, simhash, urls
 
 #: File name of the vocabulary below the folder of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -171,3 +171,10 @@ FROM p"""
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token groups of two vocabularies in every document, and its links by the corpus-wide numbers of their pairs."""
     return alignment.aligned(common.table(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
+
+
+@query
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of all vectors with a cosine of 0.9 or more."""
+    found = covertree.linked(common.table(spark, sf_dir, "embeddings"), 0.9)
+    return found.select("doc.vec_id", "n_links", "component_id", "kept")
