@@ -26,6 +26,7 @@ import heapq
 import os
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ DEALT = 4 << 20
 CACHE_WORDS, CACHE_CHARS = 400_000, 12_000_000
 #: Documents aligned together, and new words in one string for the tokenizers.
 SLICE, STRING = 256, 2_000
+#: Links of a group up to which they are listed one by one.
+WIDE = 65_536
 
 
 # Columns
@@ -91,44 +94,13 @@ def b_bytes(model) -> list[bytes]:
     return [bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
-def groups_of(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The tokens of each group: cut where both sides end. Both cover the same bytes."""
-    out, i, j = [], 0, 0
-    while i < len(a):
-        first, other = i, j
-        at, bt = a_size[a[i]], b_size[b[j]]
-        i, j = i + 1, j + 1
-        while at != bt:
-            if at < bt:
-                at += a_size[a[i]]
-                i += 1
-            else:
-                bt += b_size[b[j]]
-                j += 1
-        out.append((a[first:i], b[other:j]))
-    return out
-
-
-class Part:
-    """Aligned tokens: numbers of tokens and groups, the groups written out, pairs (A id above B id) and their links."""
+class Part(NamedTuple):
+    """Aligned tokens of a word or text."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs", "links")
-
-    def __init__(self, groups: list[tuple[list[int], list[int]]]):
-        found: Counter = Counter()
-        for a, b in groups:
-            if len(a) == 1 == len(b):
-                found[a[0] << 32 | b[0]] += 1
-            else:
-                of_b = Counter(b)
-                for x, n in Counter(a).items():
-                    for y, m in of_b.items():
-                        found[x << 32 | y] += n * m
-        self.n_a, self.n_b = sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups)
-        self.n_groups = len(groups)
-        self.text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-        self.pairs = np.fromiter(found.keys(), np.int64, len(found)).tobytes()
-        self.links = np.fromiter(found.values(), np.int64, len(found)).tobytes()
+    text: bytes  # the groups written out, each closed by ";"
+    pairs: bytes  # A id above B id of every link, or of distinct ones if times are given
+    sizes: bytes  # numbers of A tokens, of B tokens and of groups
+    times: bytes = b""
 
 
 class Aligner:
@@ -136,8 +108,8 @@ class Aligner:
 
     Both vocabularies begin a token at a blank or line end that stands alone between other
     characters, so texts without other white space are aligned as their words, each with the
-    blank or line end before it; words are aligned once and kept. All other texts are aligned
-    whole. Strings of special tokens are ordinary text.
+    blank or line end before it; words are aligned once, many in one string, and kept. All
+    other texts are aligned whole. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -148,29 +120,76 @@ class Aligner:
         self._a = Tokenizer.from_file(a_path)
         self._a.encode_special_tokens = True
         self._b = SentencePieceProcessor(model_file=b_path)
-        self._a_bytes, self._b_bytes = a_bytes(self._a.get_vocab()), b_bytes(self._b)
-        self._a_size, self._b_size = list(map(len, self._a_bytes)), list(map(len, self._b_bytes))
-        begins = lambda tokens: [x[:1] in (b" ", b"\n") for x in tokens]
-        self._a_begins, self._b_begins = begins(self._a_bytes), begins(self._b_bytes)
+        self._bytes = a_bytes(self._a.get_vocab()), b_bytes(self._b)
+        self._size = [np.array([len(x) for x in side], np.int64) for side in self._bytes]
+        # Each id as it is written before a token of its side, and as the last of them in its group.
+        numbers = [[b"%d" % i for i in range(len(side))] for side in self._bytes]
+        signs = ((numbers[0], b","), (numbers[0], b"|"), (numbers[1], b","), (numbers[1], b";"))
+        self._written = [x + sign for of, sign in signs for x in of]
+        self._written_size = np.array([len(x) for x in self._written], np.int64)
+        self._places = np.cumsum([0, *(len(of) for of, _ in signs)])[:4]
         self._known: dict[str, Part | None] = {}
         self._chars = 0
 
-    def _encode_a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._a.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides for a blank and the text; B puts the blank there itself."""
+        a = self._a.encode(f" {text}", add_special_tokens=False).ids
+        return np.array(a, np.int64), np.array(self._b.encode(text, num_threads=1), np.int64)
+
+    def _same(self, ids: tuple[np.ndarray, np.ndarray], data: bytes) -> bool:
+        return all(b"".join([of[i] for i in side.tolist()]) == data for of, side in zip(self._bytes, ids))
+
+    def _parts(self, ids: tuple[np.ndarray, np.ndarray], sizes: list[int]) -> list[Part]:
+        """Parts of consecutive stretches of so many bytes. Both sides cover the same bytes and end a token where a stretch ends."""
+        ends = [np.cumsum(size[i]) for size, i in zip(self._size, ids)]
+        cuts = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(cuts, e) for e in ends]
+        n = [np.bincount(g, minlength=len(cuts)) for g in group]
+        last = np.searchsorted(cuts, np.cumsum(sizes)) + 1  # groups up to the end of each stretch
+        # Written out: by group, A before B, the last of a side with its own sign.
+        at = [np.cumsum(m) for m in n]  # tokens up to the end of each group
+        shown = []
+        for side in (0, 1):
+            closing = np.zeros(len(ids[side]), np.int64)
+            closing[at[side] - 1] = 1
+            shown.append(ids[side] + self._places[2 * side + closing])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        shown = np.concatenate(shown)[order]
+        text = b"".join([self._written[i] for i in shown.tolist()])
+        tokens = np.r_[0, at[0] + at[1]]  # of both sides up to each group
+        letters = np.r_[0, np.cumsum(self._written_size[shown])][tokens[np.r_[0, last]]].tolist()
+        counts = np.diff(np.stack([np.r_[0, at[0]], np.r_[0, at[1]], np.arange(len(cuts) + 1)], axis=1)[np.r_[0, last]], axis=0)
+        if (n[0] * n[1] > WIDE).any():
+            links = [self._wide(*(ids[k][np.r_[0, at[k]][i] : at[k][j - 1]] for k in (0, 1)), n[0][i:j], n[1][i:j]) for i, j in zip(np.r_[0, last], last)]
+            return [Part(text[i:j], p, c.tobytes(), t) for i, j, (p, t), c in zip(letters, letters[1:], links, counts)]
+        times = n[1][group[0]]  # links of each A token
+        upto = np.cumsum(times)
+        other = np.arange(int(times.sum())) + np.repeat((at[1] - n[1])[group[0]] - (upto - times), times)
+        pairs = (np.repeat(ids[0], times) << 32 | ids[1][other]).tobytes()
+        linked = (8 * np.r_[0, np.cumsum(n[0] * n[1])][np.r_[0, last]]).tolist()
+        data, row = counts.tobytes(), counts.itemsize * 3
+        return [
+            Part(text[i:j], pairs[x:y], data[k : k + row])
+            for i, j, x, y, k in zip(letters, letters[1:], linked, linked[1:], range(0, len(data), row))
+        ]
 
-    def _part(self, a: list[int], b: list[int], data: bytes) -> Part | None:
-        """None if the tokens of a side are not the data."""
-        if b"".join([self._a_bytes[i] for i in a]) != data or b"".join([self._b_bytes[i] for i in b]) != data:
-            return None
-        return Part(groups_of(a, b, self._a_size, self._b_size))
+    @staticmethod
+    def _wide(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[bytes, bytes]:
+        """Distinct pairs and their links, group by group, where a group has too many links to list."""
+        found: Counter = Counter()
+        for x, y in zip(np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1])):
+            of_b = Counter(y.tolist()).items()
+            for i, n in Counter(x.tolist()).items():
+                for j, m in of_b:
+                    found[i << 32 | j] += n * m
+        return np.array(list(found), np.int64).tobytes(), np.array(list(found.values()), np.int64).tobytes()
 
     def whole(self, text: str) -> Part | None:
-        return self._part(self._encode_a([f" {text}"])[0], self._b.encode(text, num_threads=1), f" {text}".encode()) if text else None
-
-    @staticmethod
-    def _cut(ids: list[int], begins: list[bool]) -> list[list[int]]:
-        at = [i for i, x in enumerate(ids) if begins[x]]
-        return [ids[i:j] for i, j in zip(at, [*at[1:], len(ids)])]
+        """None if the text is empty or the tokens of a side are not the text."""
+        if not text:
+            return None
+        ids, data = self._encode(text), f" {text}".encode()
+        return self._parts(ids, [len(data)])[0] if self._same(ids, data) else None
 
     def _learn(self, words: set[str]) -> None:
         """None for words with other white space or the blank's sign in them, and those that a vocabulary changes."""
@@ -182,21 +201,28 @@ class Aligner:
         self._known.update(dict.fromkeys(new))
         self._chars += sum(map(len, new))
         for low in range(0, len(plain), STRING):
-            some = [w if w[0] == "\n" else f" {w}" for w in plain[low : low + STRING]]
-            joined = "x" + "".join(some)  # B puts a blank before the first word
-            a, b = self._cut(self._encode_a([f" {joined}"])[0], self._a_begins), self._cut(self._b.encode(joined, num_threads=1), self._b_begins)
-            assert len(a) == len(b) == len(some) + 1
-            for word, data, x, y in zip(plain[low:], some, a[1:], b[1:]):
-                self._known[word] = self._part(x, y, data.encode())
+            self._learn_some(plain[low : low + STRING])
+
+    def _learn_some(self, words: list[str]) -> None:
+        some = [w if w[0] == "\n" else f" {w}" for w in words]
+        joined = "x" + "".join(some)  # B puts a blank before the first word
+        ids, data = self._encode(joined), f" {joined}".encode()
+        if self._same(ids, data):
+            sizes = [2, *(len(w.encode()) for w in some)]
+            self._known.update(zip(words, self._parts(ids, sizes)[1:]))
+        elif len(words) > 1:  # a word among them is changed
+            half = len(words) // 2
+            self._learn_some(words[:half])
+            self._learn_some(words[half:])
 
     def __call__(self, texts: list[str | None]) -> list[list[Part] | None]:
         """The parts of each text; None for texts that have no tokens."""
         split = [f" {t}".replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
         self._learn(set().union(*split))
-        out = []
+        out, known = [], self._known
         for text, words in zip(texts, split):
-            parts = [self._known[w] for w in words]
-            if not words or None in parts:
+            parts = list(map(known.__getitem__, words))
+            if not parts or any(p is None for p in parts):
                 part = self.whole(text) if text else None
                 parts = None if part is None else [part]
             out.append(parts)
@@ -243,14 +269,16 @@ class _Run:
             self.rows.append((doc_id, 0, 0, 0, 0, ""))
             pairs = links = np.empty(0, np.int64)
         else:
-            pairs = np.frombuffer(b"".join([p.pairs for p in parts]), np.int64)
-            links = np.frombuffer(b"".join([p.links for p in parts]), np.int64)
-            order = np.argsort(pairs, kind="stable")
-            pairs, links = pairs[order], links[order]
-            starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-            pairs, links = pairs[starts], np.add.reduceat(links, starts)
-            digest = hashlib.sha256(";".join([p.text for p in parts]).encode()).hexdigest()
-            sums = [sum(getattr(p, f) for p in parts) for f in ("n_a", "n_b", "n_groups")]
+            text, pairs, sizes, times = zip(*parts)
+            if any(times):
+                links = [np.frombuffer(t, np.int64) if t else np.ones(len(p) // 8, np.int64) for p, t in zip(pairs, times)]
+                pairs, at = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_inverse=True)
+                of, links = np.concatenate(links), np.zeros(len(pairs), np.int64)
+                np.add.at(links, at, of)
+            else:
+                pairs, links = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
+            sums = np.frombuffer(b"".join(sizes), np.int64).reshape(-1, 3).sum(axis=0).tolist()
+            digest = hashlib.sha256(b"".join(text)[:-1]).hexdigest()
             self.rows.append((doc_id, *sums, int(links.sum()), digest))
         self.pairs.append(pairs)
         self.links.append(links)

@@ -86,11 +86,25 @@ def test_words_give_what_whole_texts_give():
         assert (parts is None) == (whole is None)
         if parts is not None:
             fast += len(parts) > 1
-            assert ";".join(p.text for p in parts) == whole.text
-            assert sum(p.n_a for p in parts) == whole.n_a and sum(p.n_b for p in parts) == whole.n_b
+            assert b"".join(p.text for p in parts) == whole.text
+            assert sum(np.frombuffer(p.sizes, np.int64) for p in parts).tolist() == np.frombuffer(whole.sizes, np.int64).tolist()
+            assert Counter(np.frombuffer(b"".join(p.pairs for p in parts), np.int64).tolist()) == Counter(np.frombuffer(whole.pairs, np.int64).tolist())
     assert fast > 800
 
 
+def test_groups_with_many_links(plain, monkeypatch):
+    monkeypatch.setattr(alignment, "WIDE", 1)
+    rng = random.Random(14)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 14))) for _ in range(300)]
+    run, of = alignment._Run(0), alignment.Aligner(A, B)
+    for parts in of(texts):
+        run.add(1, parts)
+    assert any(p.times for x in of(texts) for p in x or [])
+    assert [r[1:5] for r in run.rows] == [x[:4] for x in plain(texts)[0]]
+    links = [sum(Counter(dict(zip(p.tolist(), n.tolist()))).values()) for p, n in zip(run.pairs, run.links)]
+    assert links == [x[3] for x in plain(texts)[0]]
+
+
 def test_alignment_of_edge_rows(plain, edges, nothing):
     check(plain, edges)
     assert alignment.aligned(nothing, A, B).count() == 0
