@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leakloom import session
 from leakloom.functions import catalog, digests, text as tx
-from leakloom.operators import topk
+from leakloom.operators import prefix
 
 SCAN_ROUTES = ("code", "archive")
 # Ids made from a text lie above any serial number.
@@ -160,7 +161,7 @@ def list_keys(keys: DataFrame, users: DataFrame) -> DataFrame:
     return keys.join(owners, "user_id").select(*columns, "email", "plan").orderBy("id")
 
 
-def _anywhere() -> Column:
+def anywhere() -> Column:
     """A value that matches no key or label, spread over many partitions."""
     return F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))
 
@@ -191,7 +192,7 @@ def with_caller(
     key = F.nullif(tx.strip(F.col("key_text")), F.lit(""))
     # Requests without a key match nothing; spread them instead of piling up nulls.
     called = requests.withColumn("_key", key).withColumn(
-        "key_hash", F.coalesce(digests.key_digest(F.col("_key")), _anywhere())
+        "key_hash", F.coalesce(digests.key_digest(F.col("_key")), anywhere())
     )
     joined = called.join(active, "key_hash", "left")
     registered = F.col("user_id").isNotNull()
@@ -248,47 +249,26 @@ def scans_per_day(log: DataFrame) -> DataFrame:
 def quota_decisions(
     called: DataFrame,
     limits: dict[str, int] = catalog.PLAN_PER_DAY,
-    used_before: DataFrame | None = None,
     consuming: Column | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Add ``blocked``: code requests of a caller beyond the daily limit.
 
     Every request that is scanned consumes quota, archives too, but only code requests
     are refused. Until the limit is reached nothing is refused, and afterwards no code
-    request is, so the deciding point of a (caller, day) is its limit-th consuming
-    request. That point is found by a salted ranking and joined back; the log itself is
-    neither sorted nor collected per caller.
-
-    ``used_before`` (caller, day, used) counts scans of the same day that are already
-    logged. ``consuming`` marks requests that would be scanned (default: all valid ones).
+    request is accepted, so a code request is blocked if as many requests as the limit would
+    have been scanned before it. ``consuming`` marks those (default: all valid ones). The log
+    is read once, sorted by range, and kept in ``folder`` (see prefix.running).
     """
     eligible = F.col("valid") if consuming is None else F.col("valid") & consuming
     limit = daily_limit(F.coalesce("plan", F.lit(catalog.DEFAULT_PLAN)), limits)
-    df = called.withColumn("day", F.to_date("ts"))
-    keyed = df.where(eligible & (F.col("caller") != "anon")).withColumn("_left", limit)
-    if used_before is not None:
-        used = used_before.select("caller", "day", "used")
-        keyed = keyed.join(used, ["caller", "day"], "left").withColumn(
-            "_left", F.col("_left") - F.coalesce("used", F.lit(0))
-        )
-    cut = topk.nth_per_group(
-        keyed, ["caller", "day"], ["ts", "id"], F.col("_left"), max(limits.values()), "id"
-    )
-    # Anonymous requests have no deciding point; spread them instead of joining one hot key.
-    slot = F.when(F.col("caller") != "anon", F.col("caller")).otherwise(_anywhere())
-    df = df.withColumn("_slot", slot).join(
-        cut.withColumnRenamed("caller", "_slot"), ["_slot", "day"], "left"
-    ).drop("_slot")
-    after = F.struct("ts", "id") > F.col("cutoff")
-    blocked = (F.col("caller") != "anon") & F.col("valid") & (F.col("route") == "code")
-    over = F.coalesce(after, F.lit(False))
-    if used_before is not None:
-        # Callers that had used up their day before have no deciding point any more.
-        df = df.join(used, ["caller", "day"], "left")
-        over = over | (F.coalesce("used", F.lit(0)) >= limit)
-        return df.withColumn("blocked", blocked & over).drop("cutoff", "day", "used")
-    over = over | (limit <= 0)
-    return df.withColumn("blocked", blocked & over).drop("cutoff", "day")
+    own = F.when(eligible & (F.col("caller") != "anon"), 1).otherwise(0)
+    days = called.withColumns({"day": F.to_date("ts"), "_own": own})
+    folder = folder or session.shared_dir(called.sparkSession, "quota")
+    ran = prefix.running(days, ["caller", "day"], ["ts", "id"], F.col("_own"), folder)
+    refusable = (F.col("caller") != "anon") & F.col("valid") & (F.col("route") == "code")
+    blocked = refusable & (F.col("running") - F.col("_own") >= limit)
+    return ran.withColumn("blocked", blocked).drop("running", "day", "_own")
 
 
 def rate_counts(limited: DataFrame) -> DataFrame:
@@ -300,15 +280,13 @@ def rate_counts(limited: DataFrame) -> DataFrame:
     )
 
 
-def rate_violations(limited: DataFrame) -> DataFrame:
+def rate_violations(limited: DataFrame, folder: str | None = None) -> DataFrame:
     """The requests above the limit of their minute, in order of arrival.
 
-    Limits of any size; a limit of 0 or less refuses every request of its minute. Only
-    minutes with more requests than their limit are looked at again after the counts.
+    Limits of any size; a limit of 0 or less refuses every request of its minute. The log is
+    read once and kept in ``folder`` (see prefix.running), a hot bucket in several partitions.
     """
     df = limited.withColumn("minute", F.date_trunc("minute", "ts"))
-    keys = ["route", "bucket", "minute"]
-    second = F.date_trunc("second", "ts")
-    cut = topk.position_after(df, keys, ["ts", "id"], second, F.col("minute_limit"))
-    after = F.col("cutoff").isNull() | (F.struct("ts", "id") > F.col("cutoff"))
-    return df.join(cut, keys).where(after).drop("cutoff")
+    folder = folder or session.shared_dir(limited.sparkSession, "rates")
+    ran = prefix.running(df, ["route", "bucket", "minute"], ["ts", "id"], F.lit(1), folder)
+    return ran.where(F.col("running") > F.col("minute_limit")).drop("running")

@@ -26,47 +26,3 @@ def first_per_group(
         .withColumn("rank", F.row_number().over(by_group))
         .where(F.col("rank") <= n)
     )
-
-
-def position_after(
-    df: DataFrame, keys: list[str], order: list[str], bin_: Column, limit: Column
-) -> DataFrame:
-    """Per group with more than ``limit`` rows the position of row number ``limit``.
-
-    ``cutoff`` is that row's ``order`` columns as a struct, null where the limit is 0 or
-    less. Rows are counted per bin of the first order column, and only the bin that holds
-    the limit is ranked: a group of any size and any limit is spread over its bins.
-    """
-    picked = df.select(*keys, *order, bin_.alias("_bin"), limit.alias("_limit"))
-    counts = picked.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), F.max("_limit").alias("_limit"))
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.select(
-        *keys, "_bin", "_n",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("_all"),
-        F.max("_limit").over(group).alias("_limit"),
-    ).where(F.col("_all") > F.col("_limit"))
-    everything = placed.where("_limit <= 0").select(*keys).distinct()
-    held = placed.where("_limit > 0 AND _before < _limit AND _before + _n >= _limit")
-    held = held.select(*keys, "_bin", (F.col("_limit") - F.col("_before")).alias("_nth"))
-    ranked = picked.drop("_limit").join(held, [*keys, "_bin"]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order))
-    )
-    cut = ranked.where(F.col("_rank") == F.col("_nth")).select(*keys, F.struct(*order).alias("cutoff"))
-    return cut.unionByName(everything, allowMissingColumns=True)
-
-
-def nth_per_group(
-    df: DataFrame, keys: list[str], order: list[str], limit: Column, max_limit: int, salt_by: str
-) -> DataFrame:
-    """Per group the position (``order`` columns as struct ``cutoff``) of row number ``limit``.
-
-    Groups with fewer rows are absent. The result is as small as the number of groups
-    that reach their limit.
-    """
-    picked = df.select(*keys, *order, limit.alias("_limit"))
-    first = first_per_group(picked, keys, [F.col(c) for c in order], max_limit, salt_by)
-    return first.where(F.col("rank") == F.col("_limit")).select(
-        *keys, F.struct(*order).alias("cutoff")
-    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,8 +29,13 @@ def build(app: str = "leakloom", master: str | None = None, **conf) -> SparkSess
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors can reach."""
+    """A fresh folder below spark.checkpoint.dir, which all executors can reach.
+
+    A local master without that setting, as in tests, gets a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix=f"{purpose}-")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from leakloom.functions import catalog
 from leakloom.operators import tenants, usage
@@ -39,7 +40,7 @@ def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def write_batches(
-    stream: DataFrame, path: str, checkpoint: str, transform=None, mode: str = "append", done=None
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
     """Write every micro-batch to its own ``batch_id=N`` folder.
 
@@ -47,14 +48,11 @@ def write_batches(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch, batch_id) if transform else batch
         target = f"{path}/batch_id={batch_id}"
-        if "ts_date" in out.columns:
-            out.write.mode("overwrite").partitionBy("ts_date").parquet(target)
-        else:
-            out.write.mode("overwrite").parquet(target)
-        if done:
-            done()
+        writer = batch.write.mode("overwrite")
+        if "ts_date" in batch.columns:
+            writer = writer.partitionBy("ts_date")
+        writer.parquet(target)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -106,44 +104,69 @@ def totals_stream(log: DataFrame, lateness: str) -> DataFrame:
     )
 
 
+def _daily_quota(state_days: float) -> StatefulProcessor:
+    """Requests accepted so far of one caller on one UTC day, as keyed state."""
+    columns = [c.split()[0] for c in _DECISION.split(", ")]
+
+    # A class of this function, so that it travels as it is to workers without this package.
+    class DailyQuota(StatefulProcessor):
+        def init(self, handle):
+            self._used = handle.getValueState("used", "used long", int(state_days * 86_400_000))
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            # The rows of a caller in one micro-batch, whose size the source bounds.
+            batch = pd.concat(list(rows)).sort_values(["ts", "id"])
+            counts = batch["valid"] & (batch["caller"] != "anon")
+            used = 0
+            if counts.any():
+                used = self._used.get()[0] if self._used.exists() else 0
+            before = used + counts.cumsum() - counts
+            blocked = counts & (batch["route"] == "code") & (before >= batch["day_limit"])
+            consumed = counts & ~blocked
+            if consumed.any():
+                self._used.update((int(used + consumed.sum()),))
+            yield batch.assign(blocked=blocked, consumed=consumed)[columns]
+
+        def close(self):
+            pass
+
+    return DailyQuota()
+
+
+_DECISION = "id long, ts timestamp, route string, caller string, valid boolean, blocked boolean, consumed boolean"
+#: State with a lifetime needs RocksDB, and would run empty batches without end.
+_STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
 def quota_stream(
     called: DataFrame,
     path: str,
     checkpoint: str,
     limits: dict[str, int] = catalog.PLAN_PER_DAY,
+    state_days: float = 1,
 ) -> StreamingQuery:
-    """Quota decisions in arrival order.
-
-    The log of decisions is the state, as the usage log is for single requests: a batch
-    counts the accepted requests of its days in earlier batches, then decides its own
-    rows with the batch operator. The days of a batch, a few, are named in the filter, so
-    that folders of other days are not read; a hot caller is spread by that operator, and a
-    repeated batch ignores its own first attempt. Looked-up rows of a batch are kept for
-    its passes; a lost part is computed again.
+    """Quota decisions in arrival order; within a micro-batch by time, then id.
+
+    The number of accepted requests of each (caller, UTC day) is keyed state in RocksDB, in
+    the checkpoint, and leaves it ``state_days`` after its last change. Refused, invalid and
+    anonymous requests change no state; those without a caller are spread over 1,024 keys.
+    Nothing that was written before is read again.
     """
     spark = called.sparkSession
-    kept: list[DataFrame] = []
-
-    def decide(batch: DataFrame, batch_id: int) -> DataFrame:
-        batch = batch.withColumn("ts_date", F.to_date("ts")).persist()
-        kept.append(batch)
-        used = None
-        if batch_id > 0:
-            days = [r[0] for r in batch.select("ts_date").distinct().collect()]
-            log = spark.read.option("basePath", path).parquet(path)
-            earlier = log.where(F.col("ts_date").isin(days) & (F.col("batch_id") < batch_id) & F.col("consumed"))
-            used = (
-                earlier.groupBy("caller", F.col("ts_date").alias("day"))
-                .agg(F.count("*").alias("used"))
-            )
-        decided = tenants.quota_decisions(batch, limits, used)
-        accepted = F.col("valid") & ~F.col("blocked") & (F.col("caller") != "anon")
-        return decided.select(
-            "id", "ts", "route", "caller", "valid", "blocked", accepted.alias("consumed"), "ts_date"
-        )
-
-    def release() -> None:
-        while kept:
-            kept.pop().unpersist()
-
-    return write_batches(called, path, checkpoint, decide, done=release)
+    slot = F.when(F.col("caller") == "anon", tenants.anywhere()).otherwise(F.col("caller"))
+    limit = tenants.daily_limit(F.coalesce("plan", F.lit(catalog.DEFAULT_PLAN)), limits)
+    rows = called.select("id", "ts", "route", "caller", "valid", limit.alias("day_limit"), slot.alias("slot"), F.to_date("ts").alias("day"))
+    decided = rows.groupBy("slot", "day").transformWithStateInPandas(
+        _daily_quota(state_days), outputStructType=_DECISION, outputMode="append", timeMode="processingTime"
+    )
+    before = {name: spark.conf.get(name, None) for name in _STATEFUL}
+    for name, value in _STATEFUL.items():
+        spark.conf.set(name, value)
+    try:  # a query keeps the settings that it was started with
+        return write_batches(decided.withColumn("ts_date", F.to_date("ts")), path, checkpoint)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -6,8 +6,6 @@ whole text of every document, chosen by its id.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leakloom import session
@@ -48,10 +46,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A folder for a query's files: the shared one, or a temporary one of a local master."""
-    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local["):
-        return session.shared_dir(spark, purpose)
-    return tempfile.mkdtemp(prefix=f"{purpose}-") + "/out"
+    """A folder for a query's files."""
+    return session.shared_dir(spark, purpose)
 
 
 def _pick(values, index: Column) -> Column:

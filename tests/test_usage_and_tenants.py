@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from leakloom.operators import admission, tenants, topk, usage
+from leakloom.operators import admission, prefix, tenants, topk, usage
 from leakloom.plans import scan
 from leakloom.sources import tables
 from leakloom.streaming import jobs
@@ -79,6 +79,59 @@ def test_quota_stream_over_many_batches(spark, tmp_path):
     assert {r.id for r in log.where("blocked").select("id").collect()} == replay(rows, limits)
 
 
+def quota_log(spark, tmp_path, limits, out):
+    source = jobs.file_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    called = tenants.with_caller(source, *directory(spark), legacy=("old",))
+    jobs.quota_stream(called, str(tmp_path / out), str(tmp_path / "cp"), limits).awaitTermination()
+    return spark.read.option("basePath", str(tmp_path / out)).parquet(str(tmp_path / out))
+
+
+def test_quota_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Counts are in the checkpoint: a second run decides new rows as if it had never stopped, without the first one's output."""
+    rows, _ = requests(spark, 1200, seed=9)
+    rows.sort(key=lambda r: (r[1], r[0]))
+    limits, decided = {"free": 7, "pro": 60}, {}
+    for run in ("first", "second"):
+        for part in range(2):
+            at = 600 * (run == "second") + 300 * part
+            spark.createDataFrame(rows[at : at + 300], "id long, ts timestamp, route string, ip string, key_text string") \
+                .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        new = {r.id: r.blocked for r in quota_log(spark, tmp_path, limits, run).collect()}
+        assert len(new) == 600 and not new.keys() & decided.keys()
+        decided |= new
+    assert {i for i, blocked in decided.items() if blocked} == replay(rows, limits)
+    assert list((tmp_path / "cp" / "state").rglob("*.zip")), "the counts are in a RocksDB state store"
+
+
+def test_running_sums_of_a_hot_group(spark, tmp_path):
+    """One group holds half of all rows, several groups end and begin in one partition, and keys may be null."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["hot"] * 6 + [f"g{j}" for j in range(5)] + [None]), rnd.randint(0, 40), rnd.randint(0, 3)) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id long, g string, t long, w int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix.running(frame, ["g"], ["t", "id"], F.col("w"), str(tmp_path / "run")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, sums = {}, {}
+    for i, g, t, w in sorted(rows, key=lambda r: (r[2], r[0])):
+        sums[g] = want[i] = sums.get(g, 0) + w
+    assert {r.id: r.running for r in got} == want and len(got) == 6000
+    kept = spark.read.parquet(str(tmp_path / "run"))
+    assert kept.where("g = 'hot'").select("_part").distinct().count() > 1  # not one task's
+    assert prefix.running(frame.limit(0), ["g"], ["t", "id"], F.col("w"), str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        prefix.running(frame.withColumn("running", F.lit(1)), ["g"], ["t"], F.col("w"), str(tmp_path / "bad"))
+
+
+def test_quotas_read_the_log_once(spark):
+    _, frame = requests(spark, 200)
+    called = tenants.with_caller(frame, *directory(spark), legacy=("old",))
+    for decided in (tenants.quota_decisions(called, {"free": 1, "pro": 2}), tenants.rate_violations(tenants.with_rate_limit(called))):
+        plan = decided._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "key_hash" not in plan.split("Relation")[0]
+
+
 def test_callers_and_limits(spark):
     rows, frame = requests(spark, 300)
     called = tenants.with_rate_limit(tenants.with_caller(frame, *directory(spark), legacy=("old",))).collect()
