@@ -33,7 +33,8 @@ class CachedEncoder:
     stands between other characters, so the ids of a text are those of its words, each with
     the blank or line end before it. Words are encoded once and kept; new words are encoded
     many at a time, and cut where a token begins with a blank or line end. Texts with other
-    white space are encoded whole. Strings of special tokens are ordinary text.
+    white space are encoded whole, and so are those that hold the string of an added token,
+    which becomes that token, as the library has it by default.
     """
 
     def __init__(self, path: str):
@@ -41,7 +42,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [t.content for t in added]
         words = self._tokenizer.get_vocab()
         self._begins = np.zeros(max(words.values()) + 1, bool)
         # Byte-level vocabularies write a blank as U+0120 and a line end as U+010A.
@@ -73,13 +75,16 @@ class CachedEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # Every line begins with its "\n"; other words stand for themselves after a blank.
-        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        plain = [not any(a in t for a in self._added) for t in texts]
+        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] if p else [] for t, p in zip(texts, plain)]
         self._learn(set().union(*split))
         out, known = [], self._known
         for text, words in zip(texts, split):
             try:
+                if not words:
+                    raise TypeError
                 out.append(b"".join(map(known.__getitem__, words))[self._line_end :])
-            except TypeError:  # a word that is None
+            except TypeError:  # a word that is None, or an added token in the text
                 out.append(self._encode([text])[0])
         return out
 
