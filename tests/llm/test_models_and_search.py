@@ -25,7 +25,6 @@ def pairs(df):
 @pytest.fixture(scope="module")
 def encode():
     tokenizer = Tokenizer.from_file(queries.vocabulary())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -35,12 +34,19 @@ def encode():
 def test_cached_encoder_equals_whole_texts(encode):
     rng = random.Random(1)
     parts = [" ", "\n", "  ", "\n\n", "\t", "a", "B", "é", "1", "'s", "'ll", ".", "!", "\xa0", "\x1c", "\x85", "\U0001f600",
-             "<|endoftext|>", "Ġ", "Ċ", "\r\n", "word", " the", "-", "\u200b", "\u3000", "中", "\x00"]
+             "<|endoftext|>", "<|endoftext|", "Ġ", "Ċ", "\r\n", "word", " the", "-", "\u200b", "\u3000", "中", "\x00"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
     got = packing.CachedEncoder(queries.vocabulary())(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(t) for t in texts]
 
 
+def test_added_tokens_are_tokens(encode):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "a <|endoftext| > b"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.CachedEncoder(queries.vocabulary())(texts)]
+    assert got == [encode(t) for t in texts]
+    assert got[0] == [64, 220, 50256, 275]
+
+
 def test_cache_is_bounded(encode, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     of = packing.CachedEncoder(queries.vocabulary())
@@ -283,7 +289,7 @@ def test_marginals_are_met(spark):
     rng = random.Random(7)
     rows = [(i, "w " * rng.randint(60, 400), rng.choice(["en", "en", "de"]), rng.choice("aaaab")) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    found = mixing.mix(docs, {"lang": {"en": 1, "de": 1}, "source": {"a": 1, "b": 3}}).collect()
+    found = mixing.mix(docs, {"lang": {"en": 1, "de": 1}, "source": {"a": 1, "b": 3}}, budget=0.1).collect()
     for column, want in (("lang", {"en": 0.5, "de": 0.5}), ("source", {"a": 0.25, "b": 0.75})):
         expected, kept = defaultdict(float), defaultdict(float)
         for r in found:
@@ -296,6 +302,68 @@ def test_marginals_are_met(spark):
     assert not any(r.kept for r in none)
 
 
+def plain_mix(cells, budget, powers=mixing.POWERS, rounds=200):
+    """Tokens that each cell keeps, by loops. cells: tokens by (source, lang, topic)."""
+    total = sum(cells.values())
+    goals = []
+    for k, margin in enumerate(mixing.MARGINS):
+        own = Counter()
+        for c, n in cells.items():
+            own[c[k]] += n
+        share = {v: n ** powers[margin] for v, n in own.items()}
+        full, goal = set(), {}
+        while True:  # values that cannot give their part give all, and the others share again
+            rest = budget * total - sum(own[v] for v in full)
+            weight = sum(share[v] for v in own if v not in full)
+            goal = {v: own[v] if v in full else rest * share[v] / weight for v in own}
+            short = {v for v in own if goal[v] > own[v]}
+            if not short:
+                break
+            full |= short
+        goals.append(goal)
+    x = {c: float(n) for c, n in cells.items()}
+    for _ in range(rounds):
+        for k, goal in enumerate(goals):
+            sums = defaultdict(float)
+            for c, v in x.items():
+                sums[c[k]] += v
+            x = {c: min(cells[c], v * goal[c[k]] / sums[c[k]]) for c, v in x.items()}
+    return x, goals
+
+
+def test_budget_is_kept_by_what_is_not_scarce(spark):
+    """One document of a new source or of no language moves the expected share by less than a point, and its target is reported."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    added = [(-1, "word " * 60, "en", "new source"), (-2, "word " * 60, None, "web")]
+    kept = []
+    for extra in ([], added[:1], added[1:]):
+        more = docs.union(spark.createDataFrame(extra, docs.schema))
+        rows = mixing.mix(more).groupBy().agg(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens")).first()
+        kept.append(rows[0] / rows[1])
+    assert abs(kept[0] - mixing.BUDGET) < 0.02 and max(abs(k - kept[0]) for k in kept) < 0.01
+    said = {(r.margin, r.value): r for r in mixing.report(docs.union(spark.createDataFrame(added[:1], docs.schema))).collect()}
+    new = said["source", "new source"]
+    assert not new.reachable and new.tokens == new.goal == 60 and new.expected <= 60
+    assert all(r.goal <= r.tokens + 1e-6 and r.expected <= r.tokens + 1e-6 for r in said.values())
+
+
+def test_mixing_against_loops(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(1, 90), rng.choice(["en"] * 8 + ["de", None]), rng.choice(["a"] * 9 + ["b", "c", "d"]), rng.choice("xyz")) for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (5000, "one two", "fr", "e", "q")], "doc_id long, text string, lang string, source string, kind string")
+    found = mixing.mix(docs, budget=0.6, topic=F.col("kind")).collect()
+    cells = Counter()
+    for r in found:
+        assert r.topic == r.doc.kind
+        cells[r.source, r.lang, r.topic] += r.tokens
+    want, goals = plain_mix(cells, 0.6, rounds=mixing.ROUNDS)
+    assert all(r.probability == pytest.approx(want[r.source, r.lang, r.topic] / cells[r.source, r.lang, r.topic], abs=1e-9) for r in found)
+    report = mixing.report(docs, budget=0.6, topic=F.col("kind")).collect()
+    assert {(r.margin, r.value): r.goal for r in report} == pytest.approx(
+        {(m, v): g for m, goal in zip(mixing.MARGINS, goals) for v, g in goal.items()})
+    assert all(abs(r.expected - r.goal) < 0.01 * sum(cells.values()) for r in report)
+
+
 # Search
 
 
