@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _local_root: list[str] = []
+#: Work folders made inside scratch(), for each one that is open.
+_scratch: list[list[str]] = []
 
 
 def work_path(spark: SparkSession, purpose: str) -> str:
@@ -32,7 +35,26 @@ def work_path(spark: SparkSession, purpose: str) -> str:
         if not _local_root:
             _local_root.append(tempfile.mkdtemp(prefix="corpus-"))
         root = _local_root[0]
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Work folders made in this context go at its end; what is needed later has to be written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
@@ -44,19 +66,19 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._work_path = path
+    return back
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a frame made by saved() that nothing reads any more.
+    """Delete the folder of a frame made by saved() that nothing reads any more.
 
     Shuffle files of earlier plans go as well: Spark drops them once both sides have
     collected their garbage, which long loops cannot wait for.
     """
     spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, df._work_path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -172,18 +172,20 @@ def pack(
     return pieces(tokenized(docs, vocabulary, end_id, key, text), window)
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _numbers(ids: pa.Array) -> pa.Array:
-    return pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids.to_pylist()], pa.list_(pa.int64()))
+def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
+    """What a model is trained on: sequence_id, n_tokens, input_ids (array<int> of `window` ids, padded) and pieces.
+
+    pieces tells which part of which document stands where: doc_id, offset, start, length. A
+    group holds `window` ids at most, in as many pieces.
+    """
 
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def padded(ids: pa.Array) -> pa.Array:
+        rows = [np.frombuffer(x, "<i4") for x in ids.to_pylist()]
+        return pa.array([np.r_[x, np.full(window - len(x), pad_id, "<i4")] for x in rows], pa.list_(pa.int32()))
 
-def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
-    """sequence_id, n_tokens and the padded ids (array<long>) of each sequence; groups hold `window` ids at most."""
-    grouped = packed.groupBy("sequence_id").agg(
-        F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", _numbers("ids").alias("ids")))).alias("x")
-    )
-    row = F.flatten(F.col("x.ids"))
-    return grouped.select(
-        "sequence_id", "n_tokens",
-        F.concat(row, F.array_repeat(F.lit(pad_id).cast("long"), (window - F.col("n_tokens")).cast("int"))).alias("input_ids"),
-    )
+    of = F.struct("offset", "doc_id", "start", "length", "ids")
+    grouped = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(of)).alias("x"))
+    joined = F.aggregate("x", F.lit(b""), lambda row, piece: F.concat(row, piece["ids"]))
+    pieces = F.transform("x", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["offset"].alias("offset"), p["start"].alias("start"), p["length"].alias("length")))
+    return grouped.select("sequence_id", "n_tokens", padded(joined).alias("input_ids"), pieces.alias("pieces"))

@@ -1,6 +1,7 @@
 """Quality, URL filters, rules, mixing, packing, search and the pipeline."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -453,16 +454,75 @@ def test_pipeline_stage_by_stage(spark, encode):
     con.executemany("INSERT INTO stage VALUES (?, ?, ?, ?, ?)", [tuple(r) for r in unique])
     kept = con.sql(f"SELECT doc_id FROM ({mixing.oracle().replace('FROM documents', 'FROM stage')}) WHERE kept ORDER BY 1").fetchall()
     assert [(r.doc_id,) for r in mixed] == kept
-    plain.check_pieces([(r.doc_id, r.text) for r in mixed], map(tuple, tables[-1].collect()), encode)
-    assert corpus_pipeline.run(spark, SF_TINY).count() == tables[-1].count()
+    check_sequences(tables[-1].collect(), [(r.doc_id, r.text) for r in mixed], encode)
+
+
+def check_sequences(rows, docs, encode, window=2048):
+    """Padded ids are the documents' ids, each closed by 1, and pieces say whose they are."""
+    ids = {d: [*encode(t or ""), 1] for d, t in docs}
+    seen = Counter()
+    for k, r in enumerate(sorted(rows, key=lambda r: r.sequence_id)):
+        assert r.sequence_id == k and len(r.input_ids) == window and r.n_tokens == sum(p.length for p in r.pieces)
+        assert r.n_tokens == window or k == len(rows) - 1
+        at = 0
+        for p in r.pieces:
+            assert p.offset == at and p.start == seen[p.doc_id]
+            assert r.input_ids[at : at + p.length] == ids[p.doc_id][p.start : p.start + p.length]
+            at += p.length
+            seen[p.doc_id] += p.length
+        assert r.input_ids[at:] == [0] * (window - at)
+    assert seen == Counter({d: len(x) for d, x in ids.items()})
+
+
+def test_pipeline_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """A run that dies in its fourth stage leaves three, which the next one does not repeat; work tables go."""
+    calls, stages = [], corpus_pipeline.STAGES
+
+    def counted(name, stage, dies):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if dies and name == "mixing":
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(n, f, True) for n, f in stages])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, SF_TINY, str(tmp_path / "run"))
+    assert calls == ["quality", "lines", "duplicates", "mixing"]
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "run").glob("[123]-*/part-*")}
+    calls.clear()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(n, f, False) for n, f in stages])
+    done = corpus_pipeline.run(spark, SF_TINY, str(tmp_path / "run"))
+    assert calls == ["mixing", "packing"] and done.count() > 0
+    assert kept and all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    with common.scratch(spark):
+        made = common.saved(spark.range(3), "short")
+        assert made.count() == 3
+    assert not os.path.exists(made._work_path)
 
 
 def test_pipeline_of_edge_rows(spark, edges, nothing):
+    """Rows that quality keeps go through all stages, whatever their ids, texts and classes are."""
+    columns = edges.columns
     for start in (edges, nothing):
         docs = start
-        for name, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            rows = docs.count()
             docs = common.saved(stage(spark, docs, SF_TINY), name)
-        assert docs.count() >= 0
+            if name in ("lines", "duplicates", "mixing"):
+                assert docs.columns == columns
+                assert docs.count() == rows if name == "lines" else docs.count() <= rows
+        flat = [(p.doc_id, p.length) for r in docs.collect() for p in r.pieces]
+        assert bool(flat) == (start is edges)
+        if start is edges:
+            # One each of the near copies, blank texts and texts without an id is left before mixing.
+            assert {d for d, _ in flat} <= {r.doc_id for r in edges.collect()}
+            assert 5 in {d for d, _ in flat} or sum(n for _, n in flat) > 0
+    good = corpus_pipeline.quality_stage(spark, edges, SF_TINY)
+    assert good.columns == columns and good.count() < edges.count()
+    assert corpus_pipeline.quality_stage(spark, nothing, SF_TINY).count() == 0
 
 
 def test_work_path(spark):
