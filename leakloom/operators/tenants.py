@@ -174,19 +174,30 @@ def with_caller(
     keys: DataFrame,
     users: DataFrame,
     legacy: tuple[str, ...] = (),
+    as_of_request: bool = False,
 ) -> DataFrame:
     """Add who is behind each request: user_id, email, plan, caller_key_id, caller_prefix,
     caller_rate (null unless registered and active), ``legacy``, ``caller`` (label) and
-    ``valid`` (no key, or a key that is known)."""
+    ``valid`` (no key, or a key that is known).
+
+    With ``as_of_request`` a key counts as it was at the time of the request: from its
+    ``created_at`` (null: always) until before its ``revoked_at`` (null: not revoked), whatever
+    its state is now. A digest has one key, so the join finds one row at most.
+    """
+    if as_of_request:
+        known = keys.withColumns({"_from": F.col("created_at").cast("timestamp"), "_until": F.col("revoked_at").cast("timestamp")})
+    else:
+        none = F.lit(None).cast("timestamp")
+        known = keys.where(~F.col("revoked")).withColumns({"_from": none, "_until": none})
     active = (
-        keys.where(~F.col("revoked"))
-        .select("id", "user_id", "key_hash", "key_prefix", "rate_limit")
+        known.select("id", "user_id", "key_hash", "key_prefix", "rate_limit", "_from", "_until")
         .join(users.select(F.col("id").alias("user_id"), "email", "plan"), "user_id")
         .select(
             "key_hash", "user_id", "email", "plan",
             F.col("id").alias("caller_key_id"),
             F.col("key_prefix").alias("caller_prefix"),
             F.col("rate_limit").alias("caller_rate"),
+            *(("_from", "_until") if as_of_request else ()),
         )
     )
     key = F.nullif(tx.strip(F.col("key_text")), F.lit(""))
@@ -194,7 +205,15 @@ def with_caller(
     called = requests.withColumn("_key", key).withColumn(
         "key_hash", F.coalesce(digests.key_digest(F.col("_key")), anywhere())
     )
-    joined = called.join(active, "key_hash", "left")
+    if as_of_request:
+        there = (
+            (called["key_hash"] == active["key_hash"])
+            & (F.col("_from").isNull() | (F.col("_from") <= F.col("ts")))
+            & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
+        )
+        joined = called.join(active, there, "left").drop(active["key_hash"]).drop("_from", "_until")
+    else:
+        joined = called.join(active, "key_hash", "left")
     registered = F.col("user_id").isNotNull()
     is_legacy = F.coalesce(~registered & F.col("_key").isin(*legacy), F.lit(False)) if legacy \
         else F.lit(False)

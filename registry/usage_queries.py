@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import catalog, digests
 from leakloom.operators import tenants, usage
-from leakloom.plans import gate
+from leakloom.plans import accounts, gate
 from leakloom.sources import tables
 from registry import views as v
 
@@ -268,6 +268,32 @@ add(
 )
 
 
+_CALLED_THEN = f"""WITH users AS ({v.USERS_SQL}), api_keys AS ({v.TIMED_API_KEYS_SQL}), requests AS ({v.REQUESTS_SQL}),
+called AS (SELECT r.*, k.id AS key_id, u.plan, k.id IS NOT NULL AS registered, coalesce(r.key_text = '{v.LEGACY_KEYS[0]}', false) AS legacy,
+    CASE WHEN k.id IS NOT NULL THEN 'user:' || u.email || ' key:' || k.key_prefix
+      WHEN r.key_text = '{v.LEGACY_KEYS[0]}' THEN 'key:' || left(r.key_text, 8) ELSE 'anon' END AS caller
+  FROM requests r
+  LEFT JOIN api_keys k ON k.key_hash = sha256(r.key_text) AND k.created_at <= r.ts AND (k.revoked_at IS NULL OR r.ts < k.revoked_at)
+  LEFT JOIN users u ON u.id = k.user_id)"""
+
+
+def called_then(spark, sf):
+    keys = v.timed_api_keys(spark, sf)
+    return tenants.with_caller(v.requests(spark, sf), keys, v.users(spark, sf), v.LEGACY_KEYS, as_of_request=True)
+
+
+add(
+    "K04_key_at_request",
+    lambda spark, sf: called_then(spark, sf).select("id", "caller_key_id", "caller"),
+    f"{_CALLED_THEN} SELECT id, key_id AS caller_key_id, caller FROM called",
+)
+add(
+    "K14_validity_at_request",
+    lambda spark, sf: called_then(spark, sf).select("id", "valid"),
+    f"{_CALLED_THEN} SELECT id, key_text IS NULL OR registered OR legacy AS valid FROM called",
+)
+
+
 def revoked_prefixes(spark, sf):
     keys = v.api_keys(spark, sf)
     some = keys.where(F.col("id") % 9 == 0).select("key_prefix")
@@ -323,6 +349,37 @@ SELECT sha256(k) AS key_hash, 'legacy@local' AS email, left(k, 8) AS key_prefix,
   {_made("sha256(k)")} AS id, {_made("md5('legacy@local')")} AS user_id
 FROM listed WHERE sha256(k) NOT IN (SELECT key_hash FROM api_keys)""",
 )
+
+
+def durable_accounts(spark, sf):
+    """Four jobs in a row on stored tables: the first users and keys, registrations, revocations, legacy keys."""
+    path = v.work_dir(spark, "accounts")
+    accounts.store(spark, path, v.users(spark, sf), v.api_keys(spark, sf))
+    accounts.register(spark, path, v.registrations(spark, sf).withColumn("created_at", F.timestamp_seconds(F.col("seq") + 1704067200)))
+    registered = accounts.keys(spark, path).where("created_at IS NOT NULL AND rate_limit = 300")
+    accounts.revoke(spark, path, registered.select("id").union(_id_targets(spark, sf)), by="id", at="2024-02-01 00:00:00")
+    accounts.seed_legacy(spark, path, legacy_lists(spark, sf))
+    owners = accounts.users(spark, path).select(F.col("id").alias("user_id"), "email", "plan")
+    return accounts.keys(spark, path).join(owners, "user_id").select(
+        "id", "email", "plan", "key_prefix", "rate_limit", "revoked", F.col("revoked_at").isNotNull().alias("revoked_here")
+    )
+
+
+add(
+    "K02_durable_accounts",
+    durable_accounts,
+    f"""{_REGS}, {_NEW}, listed AS (SELECT 'k_' || left(md5(CAST(c_custkey * 2 AS VARCHAR)), 18) AS k FROM customer
+  UNION SELECT 'old_' || CAST(c_custkey // 2 AS VARCHAR) FROM customer),
+everyone AS (SELECT id, email, plan FROM users UNION ALL SELECT {_made("md5(email)")}, email, plan FROM new_users
+  UNION ALL SELECT {_made("md5('legacy@local')")}, 'legacy@local', 'free'),
+stored AS (SELECT id, user_id, key_prefix, rate_limit, revoked, id IN (SELECT id * 3 FROM api_keys WHERE id % 8 = 3) AS hit FROM api_keys
+  UNION ALL SELECT {_made("sha256(r.key_text)")}, e.id, left(r.key_text, 8), CASE WHEN r.plan = 'pro' THEN 300 ELSE 30 END, false, r.plan = 'pro'
+  FROM regs r JOIN everyone e USING (email) WHERE r.email LIKE '%@%' AND length(r.email) <= 254 AND r.plan IN ('free', 'pro')
+  UNION ALL SELECT {_made("sha256(k)")}, {_made("md5('legacy@local')")}, left(k, 8), 30, false, false
+  FROM listed WHERE sha256(k) NOT IN (SELECT key_hash FROM api_keys))
+SELECT s.id, email, plan, key_prefix, rate_limit, revoked OR hit AS revoked, hit AND NOT revoked AS revoked_here
+FROM stored s JOIN everyone e ON e.id = s.user_id""",
+)
 add("K09_owner", lambda spark, sf: called(spark, sf).select("id", F.col("user_id").alias("owner_id")),
     f"{_CALLED} SELECT id, user_id AS owner_id FROM called")
 add(

@@ -169,6 +169,22 @@ SELECT c_custkey AS id, c_custkey AS user_id,
 FROM customer
 """
 
+
+
+def timed_api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that were made, and some of them revoked, while the requests came in."""
+    made = F.make_dt_interval((F.col("id") % 20).cast("int"), F.lit(6)) + F.lit("2024-01-01").cast("timestamp")
+    gone = F.when(F.col("id") % 3 == 0, made + F.make_dt_interval(F.lit(8)))
+    return api_keys(spark, sf_dir).withColumns({"created_at": made, "revoked_at": gone, "revoked": gone.isNotNull()})
+
+
+TIMED_API_KEYS_SQL = f"""
+SELECT * EXCLUDE (revoked), id % 3 = 0 AS revoked,
+  TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(id % 20 AS INT)) AS created_at,
+  CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-09 06:00:00' + to_days(CAST(id % 20 AS INT)) END AS revoked_at
+FROM ({API_KEYS_SQL})
+"""
+
 # Unregistered keys that the requests carry; the first one is on the legacy list.
 LEGACY_KEYS = ("k_legacy_env_0001",)
 
