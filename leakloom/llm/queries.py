@@ -63,18 +63,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# A document is a row, as in the operator, also where rows share an id.
 ORACLES["op4_line_dedup"] = r"""
-WITH lines AS (
-  SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT row, doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+  FROM (SELECT row, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+        FROM (SELECT row, doc_id, string_split(text, chr(10)) AS l FROM docs))),
 shared AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key
-           HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT l.*, s.key IS NOT NULL AND l.doc_id <> s.keeper AS dropped FROM lines l LEFT JOIN shared s USING (key))
+           HAVING count(DISTINCT row) >= 3),
+marked AS (SELECT l.*, s.key IS NOT NULL AND l.doc_id IS DISTINCT FROM s.keeper AS dropped FROM lines l LEFT JOIN shared s USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id"""
+FROM marked GROUP BY row, doc_id"""
 
 
 @query
