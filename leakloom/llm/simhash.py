@@ -9,7 +9,8 @@ are verified on the fingerprints.
 Coordinates alone leave a fixed share of all pairs, so rows of the table meet by place:
 LIMIT differing bits leave at least BLOCKS - LIMIT of BLOCKS bit ranges equal, and only rows
 that agree on some choice of that many ranges are compared. That loses no link. A place
-compares in blocks and passes on a spanning tree of its links, not all pairs.
+compares in blocks and passes on a spanning tree of its links, not all pairs. Places that a
+sample shows to be hot are cut into chunks, and every pair of chunks is a task's of its own.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PIVOTS = np.random.Generator(np.random.PCG64(2)).integers(0, 2**64, size=16, dty
 
 #: Rows of a place that are compared at a time.
 BLOCK = 512
+#: Rows of a chunk of a hot place, and one in how many rows is counted to find them.
+HOT, COUNTED = 20_000, 64
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
@@ -109,6 +112,17 @@ def places(table: DataFrame) -> DataFrame:
     return spread.select(F.col("choice").cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("place"), "fp", "table")
 
 
+def chunked(spread: DataFrame) -> DataFrame:
+    """Adds chunks: null in ordinary places, else once for each pair of chunks that the row's chunk is in."""
+    counted = spread.where(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).groupBy("choice", "place").count()
+    hot = counted.where(F.col("count") * COUNTED > HOT).select("choice", "place", F.ceil(F.col("count") * COUNTED / HOT).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("n")).cast("int")
+    pair = lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"))
+    pairs = F.when(F.col("n").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("n") - 1), pair))
+    found = spread.join(hot, ["choice", "place"], "left").withColumn("own", own)
+    return found.select("choice", "place", "fp", "table", F.explode_outer(pairs).alias("chunks"))
+
+
 class _Forest:
     """Component labels of the rows of a batch; the label is the smallest row reachable."""
 
@@ -167,35 +181,39 @@ def links(fps: DataFrame) -> DataFrame:
     """a, b: links that connect the distinct fingerprints (fp) as all links within LIMIT do."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        held: list[tuple] = []  # rows of a group that may go on in the next batch
         for batch in chain(batches, [None]):
+            ready = None
             if batch is None:
-                ready, held = held, None
-            else:
-                choice = batch.column("choice").to_numpy(zero_copy_only=False)
-                place = batch.column("place").to_numpy(zero_copy_only=False)
+                ready, held = held, []
+            elif batch.num_rows:
+                keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "place", "i", "j")]
                 fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
                 table = np.frombuffer(b"".join(batch.column("table").to_pylist()), np.uint8).reshape(len(fp), -1)
-                new = (choice, place, fp, table)
-                if held is not None:
-                    new = tuple(np.concatenate(x) for x in zip(held, new))
-                choice, place = new[:2]
-                if not len(place):
-                    continue
-                # The last group may go on in the next batch.
-                cut = int(np.flatnonzero((choice != choice[-1]) | (place != place[-1])).max(initial=-1)) + 1
-                ready, held = tuple(x[:cut] for x in new), tuple(x[cut:] for x in new)
-            if ready is None or not len(ready[0]):
-                continue
-            choice, place, fp, table = ready
-            group = np.cumsum(np.r_[True, (choice[1:] != choice[:-1]) | (place[1:] != place[:-1])])
-            moved, to = linked(fp, table, group)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp[moved].view(np.int64)), pa.array(fp[to].view(np.int64))], names=["a", "b"]
-            )
-
-    met = places(distance_table(fps)).repartition("choice", "place").sortWithinPartitions("choice", "place")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+                rows = (*keys, fp, table)
+                other = np.zeros(len(fp), bool)
+                for k in keys:
+                    other |= k != k[-1]
+                cut = int(np.flatnonzero(other).max(initial=-1)) + 1
+                if cut or held and any(h[-1] != k[0] for h, k in zip(held[-1], keys)):
+                    ready, held = [*held, tuple(x[:cut] for x in rows)], []
+                held.append(tuple(x[cut:] for x in rows))
+            if ready:
+                yield result(*(np.concatenate(x) for x in zip(*ready)))
+
+    def result(choice, place, i, j, fp, table) -> pa.RecordBatch:
+        new = np.zeros(len(fp), bool)
+        for k in (choice, place, i, j):
+            new[1:] |= k[1:] != k[:-1]
+        moved, to = linked(fp, table, np.cumsum(new))
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[to].view(np.int64))], names=["a", "b"])
+
+    keys = ["choice", "place", "i", "j"]
+    none = F.lit(-1)
+    met = chunked(places(distance_table(fps))).select(
+        "choice", "place", F.coalesce("chunks.i", none).alias("i"), F.coalesce("chunks.j", none).alias("j"), "fp", "table"
+    )
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
