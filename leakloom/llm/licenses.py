@@ -1,8 +1,9 @@
 """Finding licence texts in documents: MinHash bands over text windows, then exact containment.
 
-A match of a template is a stretch of a document, as many shingles long as the template,
-that holds at least `threshold` of the template's distinct shingles (five words each).
-Overlapping stretches make one match.
+A match of a template is a stretch of a document, SLACK times as many shingles long as the
+template, that holds at least `threshold` of the template's distinct shingles (five words
+each), so a page header or an owner's line inside a notice does not hide it. Comment marks at
+the edges of words do not count. Overlapping stretches make one match.
 
 Documents are cut into overlapping windows. A window's MinHash values are its bands; a
 template is a candidate where one band equals its own. Windows are long enough that every
@@ -23,11 +24,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leakloom.llm import common
 
 SHINGLE = 5
+#: Length of a stretch against its template's.
+SLACK = 2.0
 #: Largest probability of missing a match.
 MISS = 1e-9
 #: Words that are hashed at a time, and words whose hashes a worker keeps.
@@ -57,9 +60,103 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "following conditions: The above copyright notice and this permission notice shall be included in all "
         "copies or substantial portions of the Software.",
     ),
+    (
+        "bsd-conditions",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution.",
+    ),
+    (
+        "bsd-3-endorsement",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ),
+    (
+        "mit-warranty",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc-grant",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "0bsd-grant",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ),
+    (
+        "gpl-2.0-or-later-notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version.",
+    ),
+    (
+        "gpl-3.0-or-later-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version.",
+    ),
+    (
+        "lgpl-2.1-or-later-notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version.",
+    ),
+    (
+        "agpl-3.0-or-later-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+    ),
+    (
+        "gnu-warranty",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "mpl-2.0-notice",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "epl-2.0-notice",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "unlicense-dedication",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "zlib-grant",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software.",
+    ),
+    (
+        "bsl-1.0-grant",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit "
+        "the Software, and to prepare derivative works of the Software.",
+    ),
+    (
+        "cc-by-4.0-line",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    (
+        "cc-by-sa-4.0-line",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
 )
 
-_EDGE = b"\"'()[]{}<>.,;:!?*#/|"
+_EDGE = b"\"'()[]{}<>.,;:!?*#/|-%"
 _ODD = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, size=(2, 512), dtype=np.uint64)
 _FACTORS, _ADDENDS = _ODD[0] | np.uint64(1), _ODD[1]
 _PLACES = np.random.Generator(np.random.PCG64(21)).integers(0, 2**64, size=SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -91,13 +188,20 @@ def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
 class Template(NamedTuple):
     name: str
     shingles: frozenset[tuple[bytes, ...]]
-    length: int  # shingles with repeats: that of a stretch
+    stretch: int  # shingles in which a match has to lie
     need: int  # distinct shingles that a match holds
     stride: int
     blocks: int  # strides of a window
     bands: np.ndarray
 
 
+def read_templates(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(name, text) of every .txt file of a folder, named like the file; templates are few by nature."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
+    return sorted((r["name"], r["value"]) for r in files.select(name.alias("name"), "value").collect())
+
+
 def band_count(need: int, distinct: int, window: int) -> int:
     """Bands of one MinHash value each, so that a window with a match is missed with probability MISS at most."""
     resemblance = need / (window + distinct - need)
@@ -113,14 +217,15 @@ def prepared(templates: Sequence[tuple[str, str]], threshold: float) -> list[Tem
         length = len(words) - SHINGLE + 1
         shingles = frozenset(tuple(words[i : i + SHINGLE]) for i in range(length))
         need = math.ceil(threshold * len(shingles) - 1e-9)
-        stride = max(1, length // 2) if need < length else 1
-        blocks = math.ceil((length + stride - 1) / stride)
+        stretch = math.ceil(SLACK * length)
+        stride = max(1, stretch // 3)
+        blocks = math.ceil((stretch + stride - 1) / stride)
         count = band_count(need, len(shingles), blocks * stride)
         if count > _FACTORS.size:
             raise ValueError(f"template {name}: threshold {threshold} needs too many bands")
         own = shingle_hashes(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
         bands = (own[:, None] * _FACTORS[:count] + _ADDENDS[:count]).min(axis=0)
-        out.append(Template(name, shingles, length, need, stride, blocks, bands))
+        out.append(Template(name, shingles, stretch, need, stride, blocks, bands))
     return out
 
 
@@ -155,7 +260,7 @@ def verified(words: list[bytes], t: Template) -> list[tuple[int, int, float]]:
     held: dict[tuple[bytes, ...], int] = {}
     end = 0
     for low, (at, s) in enumerate(hits):
-        while end < len(hits) and hits[end][0] < at + t.length:
+        while end < len(hits) and hits[end][0] < at + t.stretch:
             held[hits[end][1]] = held.get(hits[end][1], 0) + 1
             end += 1
         if len(held) >= t.need:
@@ -215,8 +320,9 @@ def scan(
     """All matches: doc_id, license, start_word (from 0), n_words, containment.
 
     Words are runs of anything but six ASCII blanks. Null, empty and short texts match
-    nothing; every repeated row has its matches; an empty table gives no rows. start_word
-    and n_words count all words of the document, punctuation included.
+    nothing; every repeated row has its matches, and ties between templates all count; very
+    long texts are searched whole, in streams; an empty table gives no rows. start_word and
+    n_words count all words of the document, punctuation included. Other columns are not used.
     """
     known = prepared(templates, threshold)
 

@@ -112,6 +112,25 @@ def test_places_lose_no_link(monkeypatch, block):
     assert plain.components(n, found) == plain.components(n, links)
 
 
+def test_a_hot_place_is_many_tasks(spark, monkeypatch):
+    """Fingerprints that agree on most ranges: the same components, compared in pairs of chunks."""
+    monkeypatch.setattr(simhash, "HOT", 300)
+    monkeypatch.setattr(simhash, "COUNTED", 2)
+    rng = np.random.default_rng(11)
+    hot = rng.integers(0, 2**22, 1500, dtype=np.uint64)  # the upper four ranges are equal
+    fp = np.unique(np.r_[hot, rng.integers(0, 2**64, 200, dtype=np.uint64)])
+    fps = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(3)
+    spread = simhash.chunked(simhash.places(simhash.distance_table(fps)))
+    most = spread.groupBy("choice", "place", "chunks").count().agg(F.max("count")).first()[0]
+    assert most < 1100 and spread.where("chunks IS NOT NULL").select("choice", "place", "chunks").distinct().count() > 20
+    found = {r.a: r.root for r in components.components(simhash.links(fps)).collect()}
+    at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+    links = [(i, i + 1 + int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 3)]
+    want = plain.components(len(fp), links)
+    got = plain.components(len(fp), [(at[a], at[b]) for a, b in found.items()])
+    assert got == want and len(set(want)) < len(fp)
+
+
 @pytest.mark.parametrize("n,m", [(300, 200), (200, 400), (60, 59)])
 def test_components(spark, n, m):
     rng = random.Random(n)
@@ -184,10 +203,10 @@ def plain_licenses(rows, templates, threshold=0.8):
         for doc, text in rows:
             words, places = licenses.words_of((text or "").encode())
             shingles = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-            good = [i for i in range(len(shingles)) if len(set(shingles[i : i + t.length]) & t.shingles) >= t.need]
+            good = [i for i in range(len(shingles)) if len(set(shingles[i : i + t.stretch]) & t.shingles) >= t.need]
             spans = []
             for i in good:
-                hits = [j for j in range(i, min(i + t.length, len(shingles))) if shingles[j] in t.shingles]
+                hits = [j for j in range(i, min(i + t.stretch, len(shingles))) if shingles[j] in t.shingles]
                 if spans and hits[0] <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], hits[-1])
                 else:
@@ -220,6 +239,33 @@ def test_licenses(spark, edges, nothing):
     assert licenses.scan(edges).count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def test_notices_with_insertions_and_comment_marks(spark, tmp_path):
+    """A run of words inside a notice, and any comment marks before its lines, do not hide it; null ids and repeated rows have their matches."""
+    rows, names = [], {}
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        if len(words) < 40:
+            continue
+        half = len(words) // 2
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        for k, body in enumerate([
+            " ".join([*words[:half], *(f"w{i}" for i in range(20)), *words[half:]]),
+            "\n".join(f"-- {x}" for x in lines), "\n".join(f"%% {x}" for x in lines), "\n".join(f";; {x} ;;" for x in lines),
+            "\n".join(f" * {x}" for x in lines), "\n".join(f"// {x}" for x in lines),
+        ]):
+            names[f"{name} {k}"] = name
+            rows.append((f"{name} {k}", "before the notice\n" + body + "\nafter it"))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
+    assert all((i, names[n]) in found for i, (n, _) in enumerate(rows))
+    twice = spark.createDataFrame([(None, rows[0][1])] * 2 + [(7, rows[0][1])], "doc_id long, text string, license string".replace(", license string", ""))
+    got = Counter((r.doc_id, r.license) for r in licenses.scan(twice).collect())
+    assert got[None, names[rows[0][0]]] == 2 and got[7, names[rows[0][0]]] == 1
+    for name, text in licenses.TEMPLATES[:3]:
+        (tmp_path / f"{name}.txt").write_text(text)
+    assert licenses.read_templates(spark, str(tmp_path)) == sorted(licenses.TEMPLATES[:3])
+
+
 def test_query_licenses(spark):
     rows = pairs(spark.read.parquet(f"{SF_TINY}/documents.parquet"))
     got = sorted(map(tuple, queries.op10_licenses(spark, SF_TINY).collect()), key=repr)
@@ -229,7 +275,7 @@ def test_query_licenses(spark):
 def test_bands_keep_their_promise():
     for t in licenses.prepared(licenses.TEMPLATES, 0.8):
         window = t.stride * t.blocks
-        assert window >= t.length + t.stride - 1
+        assert window >= t.stretch + t.stride - 1
         assert len(t.bands) == 1 or (1 - t.need / (window + len(t.shingles) - t.need)) ** len(t.bands) <= licenses.MISS
     with pytest.raises(ValueError):
         licenses.prepared([("short", "four words are here")], 0.8)
