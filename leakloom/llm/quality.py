@@ -239,12 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     The sample is the s.sample labelled ids with the smallest hash; that many rows are
     broadcast to find their texts. Labels other than 0 and 1 and null ids are ignored, an
-    id with several labels takes the largest. Without labelled documents all scores are 0.5.
+    id with several labels takes the largest, one with several rows its smallest text. Without
+    labelled documents all scores are 0.5.
     """
     usable = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     place = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))
     chosen = usable.select("doc_id", "label", place.alias("place")).orderBy("place", "doc_id").limit(s.sample)
-    sample = common.saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality-sample")
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = held.groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))  # ids may repeat
+    sample = common.saved(one, "quality-sample")
     counts = sample.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where(~F.col("word").isin(*SPECIAL) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(s.vocabulary - len(SPECIAL))
     words = [*SPECIAL, *(r["word"] for r in top.collect())]
