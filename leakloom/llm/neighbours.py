@@ -1,25 +1,32 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
+Equal vectors are one node, named by their smallest id; what is found is a node, and its ids,
+smallest first, take the ranks. So ties are exact and copies never fill a list.
+
 Vectors are divided by the largest norm and get one more component that makes them unit
 vectors; nearness among those is nearness by inner product for queries with 0 there. The
 graph works on copies with 8 bits for each original component under a scale of their own,
-so that one long vector takes nothing from the others; results are scored in double
-precision on the originals.
+so that one long vector takes nothing from the others. Each copy knows how far it is from its
+original; all that this leaves open is scored in double precision on the originals.
 
 1. Start: rows sorted by the signs of random hyperplanes are cut into leaves of LEAF rows,
    once for each tree; every row takes its nearest rows in its leaf.
 2. NN-descent: each node meets its neighbours and a sample of those that list it (a join),
-   and introduces them to each other; a pair counts where it beats a node's worst neighbour.
-   The lists of all nodes are reduced and joined to the graph; ROUNDS such rounds.
-3. Search: a query starts from its own node. In each round, the best BEAM nodes found that
+   and introduces them to each other where one of them is new to it since its last round; a
+   pair counts where it beats a node's worst neighbour. The lists of all nodes are reduced
+   and joined to the graph. Rounds end when few lists change, or after ROUNDS.
+3. Search: a query starts from its own node. In each round, the best EXPAND nodes found that
    were not expanded yet meet their neighbours (a join); better ones enter the beam.
 
-Sorting by range splits any number of equal or near vectors, lists are bounded by
-parameters, and batches bound memory; no table of vectors is ever sent to all tasks.
+A vector travels once to each task that needs it, not once for each edge, and the table that
+the search joins again and again is bucketed, so that only the queries move. Sorting by range
+splits near vectors, lists are bounded by parameters, a node that many list passes on a
+sample of them before it moves, and no table of vectors is ever sent to all tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,17 +40,22 @@ from leakloom.llm import common
 class Settings(NamedTuple):
     trees: int = 6
     leaf: int = 768
-    degree: int = 32  # neighbours of a node
-    reverse: int = 24  # nodes that list it and take part, at most
-    rounds: int = 4
+    seeds: int = 16  # neighbours of a row in a leaf
+    degree: int = 28  # neighbours of a node
+    reverse: int = 20  # nodes that list it and take part, at most
+    rounds: int = 4  # at most
+    least_change: float = 0.02  # part of all list entries that a round has to change for another
     beam: int = 240
-    search_rounds: int = 12  # at most
-    rescored: int = 64  # best of a beam that are scored exactly
+    expand: int = 40  # nodes of a beam that a search round expands
+    search_rounds: int = 10  # at most
     planes: int = 16
+    nodes: int = 20_000  # nodes whose neighbours' vectors meet in a task
 
 
 LISTS = "id long, near binary, sims binary"
 _LISTS = ["id", "near", "sims"]
+#: Bytes before the components of a copy: its scale, its additional component, and its distance from the original.
+_HEAD = 12
 
 
 def _arrays(column: pa.Array, dtype) -> list[np.ndarray]:
@@ -51,10 +63,12 @@ def _arrays(column: pa.Array, dtype) -> list[np.ndarray]:
 
 
 def encoded(x: np.ndarray, rest: np.ndarray) -> list[bytes]:
-    """Each row as a 4-byte scale, its 4-byte additional component and one signed byte per component."""
+    """Each row as a 4-byte scale, its 4-byte additional component, its 4-byte error and one signed byte per component."""
     scale = np.maximum(np.abs(x).max(axis=1), 1e-30).astype(np.float32) / np.float32(127)
     cells = np.rint(x / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + r.tobytes() + c.tobytes() for s, r, c in zip(scale, rest.astype(np.float32), cells)]
+    error = np.sqrt(((x - cells * scale[:, None].astype(np.float64)) ** 2).sum(axis=1)).astype(np.float32)
+    head = zip(scale, rest.astype(np.float32), np.nextafter(error, np.float32(9)), cells)
+    return [s.tobytes() + r.tobytes() + e.tobytes() + c.tobytes() for s, r, e, c in head]
 
 
 def decoded(column: list[bytes]) -> np.ndarray:
@@ -63,7 +77,7 @@ def decoded(column: list[bytes]) -> np.ndarray:
         return np.empty((0, 0), np.float32)
     raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
     scale, rest = (np.ascontiguousarray(raw[:, i : i + 4]).view(np.float32) for i in (0, 4))
-    return np.c_[np.ascontiguousarray(raw[:, 8:]).view(np.int8) * scale, rest]
+    return np.c_[np.ascontiguousarray(raw[:, _HEAD:]).view(np.int8) * scale, rest]
 
 
 def nearness(x: np.ndarray) -> np.ndarray:
@@ -189,7 +203,7 @@ def started(points: DataFrame, s: Settings) -> DataFrame:
         sims = nearness(x)
         # A leaf's rows may hold an id twice where trees meet.
         sims[ids[:, None] == ids[None, :]] = -9
-        k = min(s.degree, len(ids) - 1)
+        k = min(s.seeds, len(ids) - 1)
         at = np.argpartition(-sims, k, axis=1)[:, :k] if k else np.empty((len(ids), 0), np.int64)
         found = np.take_along_axis(sims, at, 1).ravel()
         a, b = np.repeat(ids, k), ids[at].ravel()
@@ -199,32 +213,106 @@ def started(points: DataFrame, s: Settings) -> DataFrame:
 
     rows = _leaves(points, s).repartitionByRange("tree", "sides", "along").sortWithinPartitions("tree", "sides", "along")
     lists = reduced(rows.mapInArrow(meet, LISTS), s.degree)
-    return common.saved(points.join(lists, "id", "left"), "graph")
+    joined = points.join(lists, "id", "left").withColumnsRenamed({"near": "near2", "sims": "sims2"})
+    none = F.lit(None).cast("binary")
+    return common.saved(_merged(joined.withColumns({"near": none, "sims": none}), s), "graph")
 
 
-def _edges(graph: DataFrame) -> DataFrame:
-    """id lists other, with the place of other in the list."""
+def _edges(graph: DataFrame, s: Settings, seed: int) -> DataFrame:
+    """id meets other, which is on its list or lists it; fresh if that is new since the last round."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [np.frombuffer(x or b"", np.int64) for x in batch.column(1).to_pylist()]
-            counts = [len(x) for x in near]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)),
-                 pa.array(np.concatenate([np.empty(0, np.int64), *near]))],
-                names=["id", "other"],
-            )
+            lists = [np.frombuffer(x or b"", np.int64) for x in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in lists])
+            other = np.concatenate([np.empty(0, np.int64), *lists])
+            fresh = np.frombuffer(b"".join(x or b"" for x in batch.column(2).to_pylist()), bool)
+            yield edge_batch(ids, other, fresh)
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges the other way, of those into a node the first few by chance: a batch passes on no more than are kept in the end."""
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+        for batch in batches:
+            held = few(*(np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)))
+            if len(held[0]) > 1_000_000:
+                yield edge_batch(*held)
+                held = [h[:0] for h in held]
+        yield edge_batch(*held)
+
+    def few(node: np.ndarray, who: np.ndarray, fresh: np.ndarray) -> list[np.ndarray]:
+        chance = (who.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        chance = (chance ^ (chance >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        order = np.lexsort((chance, node))
+        node, who, fresh = node[order], who[order], fresh[order]
+        keep = np.arange(len(node)) - np.searchsorted(node, node) < s.reverse
+        return [node[keep], who[keep], fresh[keep]]
+
+    def edge_batch(ids: np.ndarray, other: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other), pa.array(fresh)], names=["id", "other", "fresh"])
+
+    schema = "id long, other long, fresh boolean"
+    out = graph.select("id", "near", "fresh").mapInArrow(flat, schema)
+    back = out.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh").mapInArrow(turned, schema)
+    return out.union(back.repartition("id").mapInArrow(turned, schema))
+
+
+def _tasks(graph: DataFrame, s: Settings) -> int:
+    return max(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-graph.count() // s.nodes))
 
-    return graph.select("id", "near").mapInArrow(flat, "id long, other long")
 
+VISITS = "task int, other long, vec binary, worst float, ids binary, fresh binary"
 
-def _company(graph: DataFrame, s: Settings, seed: int) -> DataFrame:
-    """id, other: a node's neighbours and about s.reverse of the nodes that list it."""
-    edges = common.saved(_edges(graph), "edges")
-    lists = edges.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
-    chance = F.pmod(F.xxhash64("id", "other", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    back = edges.join(lists, "other").where(chance < F.lit(float(s.reverse)) / F.col("n"))
-    return edges.union(back.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+
+def _visits(edges: DataFrame, graph: DataFrame, s: Settings, tasks: int) -> DataFrame:
+    """The vector of other, and the nodes of a task that meet it, in partitions by task."""
+    joined = edges.join(_slim(graph, s.degree), "other")
+    joined = joined.select("other", F.pmod(F.hash("id"), F.lit(tasks)).alias("task"), "id", "fresh", "vec", "worst")
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            other, task, ids, fresh = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            order = np.lexsort((task, other))
+            key_o, key_t = other[order], task[order]
+            starts = np.flatnonzero(np.r_[True, (key_o[1:] != key_o[:-1]) | (key_t[1:] != key_t[:-1])]) if len(order) else order
+            ends = [*starts[1:], len(order)]
+            first = pa.array(order[starts])
+            ids, fresh = ids[order].astype(np.int64), fresh[order].astype(bool)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("task").take(first), batch.column("other").take(first), batch.column("vec").take(first), batch.column("worst").take(first),
+                 pa.array([ids[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()),
+                 pa.array([fresh[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())],
+                names=["task", "other", "vec", "worst", "ids", "fresh"],
+            )
+
+    # Equal others come one after another, so that a batch holds nearly all of each.
+    return joined.sortWithinPartitions("other").mapInArrow(bundle, VISITS).repartition(tasks, "task").sortWithinPartitions("task")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """Of each task in a partition: its edges sorted by node (node, place of other, fresh), and others, vectors and worsts."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                yield _meeting(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _meeting(held)
+
+
+def _meeting(rows: list[tuple]) -> tuple:
+    _, other, vecs, worst, ids, fresh = zip(*rows)
+    other, at = np.unique(np.array(other, np.int64), return_inverse=True)
+    first = np.zeros(len(other), np.int64)
+    first[at] = np.arange(len(at))
+    ids = [np.frombuffer(x, np.int64) for x in ids]
+    node, place = np.concatenate(ids), np.repeat(at, [len(x) for x in ids])
+    fresh = np.frombuffer(b"".join(fresh), bool)
+    order = np.lexsort((~fresh, place, node))  # a node that lists and is listed comes twice
+    node, place, fresh = node[order], place[order], fresh[order]
+    once = np.r_[True, (node[1:] != node[:-1]) | (place[1:] != place[:-1])]
+    return node[once], place[once], fresh[once], other, [vecs[i] for i in first], np.array(worst, np.float32)[first]
 
 
 def _worst(sims: list[bytes | None], k: int) -> np.ndarray:
@@ -249,109 +337,102 @@ def _slim(graph: DataFrame, k: int) -> DataFrame:
     return graph.select("id", "vec", "sims").mapInArrow(cut, "other long, vec binary, worst float")
 
 
-def _introduced(company: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
-    """Pairs that met at a node and beat the worst neighbour of one of them, as lists."""
-    joined = company.join(_slim(graph, s.degree), "other")
+def _introduced(graph: DataFrame, s: Settings, seed: int) -> DataFrame:
+    """Pairs that met at a node, one of them new to it, and beat the worst neighbour of one of them, as lists."""
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            new = (batch.column("id").to_numpy(zero_copy_only=False), batch.column("other").to_numpy(zero_copy_only=False),
-                   decoded(batch.column("vec").to_pylist()), batch.column("worst").to_numpy(zero_copy_only=False))
-            if not len(new[0]):
-                continue
-            if held is not None:
-                new = tuple(np.concatenate(x) for x in zip(held, new))
-            cut = int(np.searchsorted(new[0], new[0][-1]))
-            held = tuple(x[cut:] for x in new)
-            yield meet(*(x[:cut] for x in new))
-        if held is not None:
-            yield meet(*held)
-
-    def meet(node: np.ndarray, who: np.ndarray, x: np.ndarray, worst: np.ndarray) -> pa.RecordBatch:
-        a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
-        for i, j in _runs(node):
-            sims = nearness(x[i:j])
-            np.fill_diagonal(sims, -9)
-            row, col = np.nonzero(sims > worst[i:j, None])
-            a.append(who[i:j][row])
-            b.append(who[i:j][col])
-            c.append(sims[row, col])
-        return _packed(*best(np.concatenate(a), np.concatenate(b), np.concatenate(c), s.degree))
-
-    rows = joined.select("id", "other", "vec", "worst").repartition("id").sortWithinPartitions("id")
-    return rows.mapInArrow(introduce, LISTS)
-
-
-GRAPH = "id long, vec binary, near binary, sims binary"
-
-
-def _improved(graph: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
-    joined = graph.join(found.withColumnsRenamed({"near": "near2", "sims": "sims2"}), "id", "left")
+        for node, place, fresh, other, vecs, worst in _meetings(batches):
+            x = decoded(vecs)
+            a, b, c, size = [], [], [], 0
+            for i, j in _runs(node):
+                if not fresh[i:j].any():
+                    continue
+                who = place[i:j]
+                sims = nearness(x[who])
+                np.fill_diagonal(sims, -9)
+                row, col = np.nonzero((sims > worst[who, None]) & (fresh[i:j, None] | fresh[None, i:j]))
+                a.append(who[row])
+                b.append(who[col])
+                c.append(sims[row, col])
+                size += len(row)
+                if size > 4_000_000:  # reduced now and then, so that memory is bounded
+                    kept = best(np.concatenate(a), np.concatenate(b), np.concatenate(c), s.degree)
+                    a, b, c = ([k] for k in kept)
+                    size = len(kept[0])
+            if a:
+                i, j, k = best(np.concatenate(a), np.concatenate(b), np.concatenate(c), s.degree)
+                yield _packed(other[i], other[j], k)
+
+    edges = _edges(graph, s, seed)
+    return _visits(edges, graph, s, _tasks(graph, s)).mapInArrow(introduce, LISTS)
+
+
+GRAPH = "id long, vec binary, near binary, sims binary, fresh binary, changed int"
+
+
+def _merged(joined: DataFrame, s: Settings) -> DataFrame:
+    """The best of near and near2; fresh marks those that were not in near, changed is their number."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+            a, b, c, old = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)], []
             for near, sims in (("near", "sims"), ("near2", "sims2")):
                 lists = [np.frombuffer(x or b"", np.int64) for x in batch.column(near).to_pylist()]
+                old = old or lists
                 a.append(np.repeat(np.arange(len(ids)), [len(x) for x in lists]))
                 b += lists
                 c += [np.frombuffer(x or b"", np.float32) for x in batch.column(sims).to_pylist()]
             row, b, c = best(np.concatenate(a), np.concatenate(b), np.concatenate(c), s.degree)
             low, high = np.searchsorted(row, np.arange(len(ids))), np.searchsorted(row, np.arange(len(ids)), "right")
+            marks = [~np.isin(b[i:j], o) for i, j, o in zip(low, high, old)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("vec"),
                  pa.array([b[i:j].astype(np.int64).tobytes() for i, j in zip(low, high)], pa.binary()),
-                 pa.array([c[i:j].astype(np.float32).tobytes() for i, j in zip(low, high)], pa.binary())],
-                names=["id", "vec", "near", "sims"],
+                 pa.array([c[i:j].astype(np.float32).tobytes() for i, j in zip(low, high)], pa.binary()),
+                 pa.array([m.tobytes() for m in marks], pa.binary()), pa.array([int(m.sum()) for m in marks], pa.int32())],
+                names=["id", "vec", "near", "sims", "fresh", "changed"],
             )
 
     return joined.select("id", "vec", "near", "sims", "near2", "sims2").mapInArrow(merge, GRAPH)
 
 
 def descend(points: DataFrame, s: Settings) -> DataFrame:
-    """The neighbour graph: id, vec, near, sims; every round is written."""
+    """The neighbour graph: id, vec, near, sims, fresh, changed; every round is written."""
     graph = started(points, s)
     for i in range(s.rounds):
-        found = reduced(_introduced(_company(graph, s, i), graph, s), s.degree)
-        after = common.saved(_improved(graph, found, s), "graph")
+        found = reduced(_introduced(graph, s, i), s.degree).withColumnsRenamed({"near": "near2", "sims": "sims2"})
+        after = common.saved(_merged(graph.join(found, "id", "left"), s), "graph")
         common.discard(graph)
         graph = after
+        changed, nodes = graph.agg(F.sum("changed"), F.count(F.lit(1))).first()
+        if (changed or 0) <= s.least_change * nodes * s.degree:
+            break
     return graph
 
 
-def _adjacency(graph: DataFrame, s: Settings) -> DataFrame:
-    """id, near, vecs: each node's company with their vectors, so that one join expands a node; written once."""
-    joined = _company(graph, s, -1).join(graph.select(F.col("id").alias("other"), "vec"), "other")
+def _adjacency(graph: DataFrame, s: Settings) -> tuple[DataFrame, str]:
+    """id, near, vecs: each node's company with their vectors, bucketed by id, and the table's name."""
+    tasks = _tasks(graph, s)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-
-        def rows(ids, others, vecs):
-            runs = list(_runs(ids))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i, _ in runs], pa.int64()),
-                 pa.array([others[i:j].tobytes() for i, j in runs], pa.binary()),
-                 pa.array([b"".join(vecs[i:j]) for i, j in runs], pa.binary())],
-                names=["id", "near", "vecs"],
-            )
+        for node, place, _, other, vecs, _ in _meetings(batches):
+            raw = np.frombuffer(b"".join(vecs), np.uint8).reshape(len(vecs), -1)
+            runs = list(_runs(node))
+            for low in range(0, len(runs), 512):
+                some = runs[low : low + 512]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node[i] for i, _ in some], pa.int64()),
+                     pa.array([other[place[i:j]].tobytes() for i, j in some], pa.binary()),
+                     pa.array([raw[place[i:j]].tobytes() for i, j in some], pa.binary())],
+                    names=["id", "near", "vecs"],
+                )
 
-        for batch in batches:
-            ids, others = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "other"))
-            vecs = batch.column("vec").to_pylist()
-            if not len(ids):
-                continue
-            if held is not None:
-                ids, others, vecs = np.r_[held[0], ids], np.r_[held[1], others], held[2] + vecs
-            cut = int(np.searchsorted(ids, ids[-1]))
-            held = (ids[cut:], others[cut:], vecs[cut:])
-            yield rows(ids[:cut], others[:cut], vecs[:cut])
-        if held is not None:
-            yield rows(*held)
-
-    sorted_rows = joined.select("id", "other", "vec").repartition("id").sortWithinPartitions("id")
-    return common.saved(sorted_rows.mapInArrow(gather, "id long, near binary, vecs binary"), "adjacency")
+    name = f"adjacency_{uuid.uuid4().hex}"
+    rows = _visits(_edges(graph, s, -1 & 0xFFFF), graph, s, tasks).mapInArrow(gather, "id long, near binary, vecs binary")
+    path = common.work_path(graph.sparkSession, "adjacency")
+    rows.write.format("parquet").bucketBy(tasks, "id").sortBy("id").option("path", path).saveAsTable(name)
+    return graph.sparkSession.table(name), name
 
 
 BEAM = "id long, vec binary, near binary, sims binary, done binary"
@@ -373,6 +454,11 @@ def _begun(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "vec").mapInArrow(begin, BEAM)
 
 
+def _next(done: np.ndarray, s: Settings) -> np.ndarray:
+    """Places in a beam, best first, that its next round expands."""
+    return np.flatnonzero(~done)[: s.expand]
+
+
 def _beamed(state: DataFrame, s: Settings) -> DataFrame:
     """The next beams: the best of the old beam and what was found; done marks nodes that were expanded."""
 
@@ -380,14 +466,14 @@ def _beamed(state: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for own, vec, near, sims, done, near2, sims2 in zip(*(c.to_pylist() for c in batch.columns)):
-                near, sims = np.frombuffer(near, np.int64), np.frombuffer(sims, np.float32)
-                # All of the old beam was expanded; of what was found, what it did not hold is new.
+                near, sims, done = np.frombuffer(near, np.int64), np.frombuffer(sims, np.float32), np.frombuffer(done, bool).copy()
+                done[_next(done, s)] = True
+                expanded = near[done]
                 b = np.r_[near, np.frombuffer(near2 or b"", np.int64)]
                 c = np.r_[sims, np.frombuffer(sims2 or b"", np.float32)]
                 keep = b != own
-                old = near[near != own]
                 _, b, c = best(np.zeros(keep.sum(), np.int64), b[keep], c[keep], s.beam)
-                out.append((own, vec, b.astype(np.int64).tobytes(), c.astype(np.float32).tobytes(), np.isin(b, old).tobytes()))
+                out.append((own, vec, b.astype(np.int64).tobytes(), c.astype(np.float32).tobytes(), np.isin(b, expanded).tobytes()))
             columns = list(zip(*out)) or [()] * 5
             types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "vec", "near", "sims", "done"])
@@ -404,7 +490,7 @@ def _frontier(beams: DataFrame, s: Settings) -> DataFrame:
             worst = _worst(batch.column(3).to_pylist(), s.beam).tolist()
             q, n, v, w = [], [], [], []
             for own, vec, near, done, low in zip(queries, vecs, batch.column(2).to_pylist(), batch.column(4).to_pylist(), worst):
-                todo = np.frombuffer(near, np.int64)[~np.frombuffer(done, bool)].tolist()
+                todo = np.frombuffer(near, np.int64)[_next(np.frombuffer(done, bool), s)].tolist()
                 q += [own] * len(todo)
                 n += todo
                 v += [vec] * len(todo)
@@ -428,7 +514,7 @@ def _expanded(frontier: DataFrame, adjacency: DataFrame, s: Settings) -> DataFra
             for i, (near, vecs) in enumerate(zip(batch.column("near").to_pylist(), batch.column("vecs").to_pylist())):
                 who = np.frombuffer(near, np.int64)
                 raw = np.frombuffer(vecs, np.uint8).reshape(len(who), -1)
-                cells = np.ascontiguousarray(raw[:, 8:]).view(np.int8).astype(np.float32)
+                cells = np.ascontiguousarray(raw[:, _HEAD:]).view(np.int8).astype(np.float32)
                 sims = cells @ queries[i] * np.ascontiguousarray(raw[:, :4]).view(np.float32)[:, 0]
                 hit = sims > worst[i]
                 a.append(np.full(hit.sum(), own[i]))
@@ -441,8 +527,8 @@ def _expanded(frontier: DataFrame, adjacency: DataFrame, s: Settings) -> DataFra
 
 
 def search(graph: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
-    """id and near (binary, 64-bit ids from the nearest on) for the queries: a frame of ids of nodes."""
-    adjacency = _adjacency(graph, s)
+    """Beams of the queries (a frame of ids of nodes): id, vec, near, sims, done, best first."""
+    adjacency, name = _adjacency(graph, s)
     first = graph.join(queries.select("id").distinct(), "id", "left_semi")
     beams = common.saved(_begun(first), "beams")
     for _ in range(s.search_rounds):
@@ -454,7 +540,40 @@ def search(graph: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
         common.discard(beams)
         common.discard(frontier)
         beams = after
-    return beams.select("id", "near")
+    graph.sparkSession.sql(f"DROP TABLE {name}")
+    return beams
+
+
+def _open(beams: DataFrame, errors: DataFrame, k: int) -> DataFrame:
+    """query, node: of each beam all that may be among the k nearest, as far as the copies tell, and the query's own node."""
+
+    def errors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, vec, near, sims in zip(*(c.to_pylist() for c in batch.columns)):
+                near, sims = np.frombuffer(near, np.int64), np.frombuffer(sims, np.float32).astype(np.float64)
+                scale, error = np.frombuffer(vec[:4], np.float32), np.frombuffer(vec[8:_HEAD], np.float32)
+                length = float(np.linalg.norm(np.frombuffer(vec[_HEAD:], np.int8) * scale.astype(np.float64)))
+                # Of two copies within their errors of vectors of length 1 at most, products differ by no more than this.
+                slack = float(error[0]) + errors * (length + float(error[0])) + 1e-6
+                low = sims[k - 1] - 2 * slack if len(sims) >= k else -np.inf
+                some = near[sims >= low]
+                out.append((np.full(len(some) + 1, own), np.r_[own, some]))
+            q, n = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in out)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(n.astype(np.int64))], names=["query", "node"])
+
+    return beams.select("id", "vec", "near", "sims").mapInArrow(errors_of, "query long, node long")
+
+
+def _largest_error(points: DataFrame) -> float:
+    """How far any copy is from its original."""
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [float(np.frombuffer(v[8:_HEAD], np.float32)[0]) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.float64())], names=["error"])
+
+    return points.select("vec").mapInArrow(errors, "error double").agg(F.max("error")).first()[0] or 0.0
 
 
 def nearest(
@@ -462,28 +581,30 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query (a row of `queries`, by key).
 
-    A query's own row is no candidate. Ties go to the smaller id; fewer candidates than k
-    give fewer rows; ids of queries that take no part (see usable) give none, and an empty
-    table gives no rows. Other columns are not used.
+    A query's own row is no candidate. Ties go to the smaller id, also among any number of
+    equal vectors; fewer candidates than k give fewer rows; ids of queries that take no part
+    (see usable) give none, and an empty table gives no rows. Other columns are not used.
     """
-    vectors = usable(rows, key, column)
-    graph = descend(prepared(vectors), s)
-    beams = search(graph, queries.select(F.col(key).cast("long").alias("id")), s)
-
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [np.frombuffer(x, np.int64)[: max(k, s.rescored)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in near])),
-                 pa.array(np.concatenate([np.empty(0, np.int64), *near]))],
-                names=["query_id", "vec_id"],
-            )
-
-    pairs = beams.mapInArrow(flat, "query_id long, vec_id long")
-    own = vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    other = vectors.select(F.col("id").alias("vec_id"), F.col("vector").alias("x"))
+    taking = usable(rows, key, column)
+    same = F.transform("vector", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    named = taking.select("id", same.alias("vector"))
+    vectors = common.saved(named.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector"), "nodes")
+    members = common.saved(named.join(vectors.withColumnRenamed("id", "node"), "vector").select("node", "id"), "members")
+    asked = queries.select(F.col(key).cast("long").alias("id")).distinct().join(members, "id")
+    points = prepared(vectors)
+    graph = descend(points, s)
+    beams = search(graph, asked.select(F.col("node").alias("id")), s)
+    pairs = _open(beams, _largest_error(points), k)
+    own = vectors.select(F.col("id").alias("query"), F.col("vector").alias("q"))
+    other = vectors.select(F.col("id").alias("node"), F.col("vector").alias("x"))
     product = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    scored = pairs.join(other, "vec_id").join(own, "query_id").select("query_id", "vec_id", product.alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    scored = pairs.join(other, "node").join(own, "query").select("query", "node", product.alias("score"))
+    # The smallest ids of a node that any query can need: k, and one that may be the query itself.
+    place = F.row_number().over(W.partitionBy("node").orderBy("id"))
+    firsts = members.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    order = [F.desc("score"), F.col("id")]
+    best_ids = scored.join(firsts, "node").withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(*order)))
+    best_ids = common.saved(best_ids.where(F.col("place") <= k + 1).select("query", "id", "score"), "ranked")
+    of = asked.select(F.col("id").alias("query_id"), F.col("node").alias("query")).join(best_ids, "query").where(F.col("id") != F.col("query_id"))
+    ranked = of.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
