@@ -20,10 +20,12 @@ def _kind(value: Column) -> Column:
 
 
 def with_admission(
-    df: DataFrame, body: str = "body", max_chars: int = catalog.MAX_CODE_CHARS
+    df: DataFrame, body: str = "body", max_chars: int | None = catalog.MAX_CODE_CHARS
 ) -> DataFrame:
     """Add ``reason`` (first failing check, else 'blank' or 'scan'), ``filename``, ``code``.
 
+    ``max_chars`` is the service's limit of a request unless given; None is no limit.
+
     A missing file name takes the default; a null one is not a string and is refused.
     """
     df = df.withColumn("_v", parse_request(F.col(body)))
@@ -48,7 +50,7 @@ def with_admission(
             | (F.length("filename") > catalog.MAX_FILENAME_CHARS),
             "bad_filename",
         )
-        .when(F.length("code") > max_chars, "code_too_long")
+        .when(F.lit(False) if max_chars is None else F.length("code") > max_chars, "code_too_long")
         .when(tx.is_blank(F.col("code")), BLANK)
         .otherwise(SCAN)
     )

@@ -30,8 +30,9 @@ def is_scannable(path: Column) -> Column:
     return base.isin(*catalog.BARE_NAMES) | suffix.isin(*catalog.CODE_SUFFIXES)
 
 
-def is_small_enough(size: Column, limit: int = catalog.MAX_ENTRY_BYTES) -> Column:
-    return size <= limit
+def is_small_enough(size: Column, limit: int | None = catalog.MAX_ENTRY_BYTES) -> Column:
+    """None is no limit."""
+    return F.lit(True) if limit is None else size <= limit
 
 
 def looks_binary(content: Column) -> Column:
@@ -44,16 +45,17 @@ def archive_reason(
     is_zip: Column,
     n_entries: Column,
     total_size: Column,
-    max_bytes: int = catalog.MAX_ARCHIVE_BYTES,
-    max_entries: int = catalog.MAX_ARCHIVE_ENTRIES,
-    max_total: int = catalog.MAX_ARCHIVE_EXPANDED,
+    max_bytes: int | None = catalog.MAX_ARCHIVE_BYTES,
+    max_entries: int | None = catalog.MAX_ARCHIVE_ENTRIES,
+    max_total: int | None = catalog.MAX_ARCHIVE_EXPANDED,
 ) -> Column:
-    """First failing check of a whole archive, or null when it is admitted."""
+    """First failing check of a whole archive, or null when it is admitted. A limit of None is none."""
+    over = lambda value, limit: F.lit(False) if limit is None else value > limit
     return (
-        F.when(n_bytes > max_bytes, "too_large")
+        F.when(over(n_bytes, max_bytes), "too_large")
         .when(~is_zip, "not_a_zip")
-        .when(n_entries > max_entries, "too_many_entries")
-        .when(total_size > max_total, "too_large_expanded")
+        .when(over(n_entries, max_entries), "too_many_entries")
+        .when(over(total_size, max_total), "too_large_expanded")
     )
 
 
@@ -142,5 +144,6 @@ def files_list(capped: DataFrame, *fields: str) -> DataFrame:
 
 
 def archive_results(capped: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
-    """Rollup and file list in one aggregation, so that the scan below runs once."""
-    return capped.groupBy("archive", *keys).agg(*_totals(), _files(fields))
+    """Rollup, entries that only their size left out, and file list in one aggregation, so that the scan below runs once."""
+    skipped = F.count_if("too_large").alias("files_too_large")
+    return capped.groupBy("archive", *keys).agg(*_totals(), skipped, _files(fields))

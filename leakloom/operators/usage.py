@@ -204,3 +204,28 @@ def latest_per_owner(log: DataFrame, limit: int = 20) -> DataFrame:
     return topk.first_per_group(
         owned, ["owner_id"], [F.desc("id")], clamp(limit, 1, 100), salt_by="id"
     )
+
+
+# --- sums that are kept up ---------------------------------------------------------
+
+
+def partial_sums(log: DataFrame) -> DataFrame:
+    """Sums of some rows of the log per day and key; sums of all parts add up to those of the log."""
+    ok = F.col("status") == "ok"
+    return log.groupBy(F.to_date("ts").alias("date"), "key_id").agg(
+        F.count("*").alias("scans"), F.sum("findings").alias("findings"), F.count_if(~ok).alias("errors"),
+        F.count_if(ok & F.col("duration_ms").isNotNull()).alias("timed"), F.sum(F.when(ok, F.col("duration_ms"))).alias("timed_ms"),
+    )
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """date, key_id, scans, findings, errors, timed, timed_ms of all parts written below ``path``."""
+    parts = spark.read.option("basePath", path).parquet(path)
+    return parts.groupBy("date", "key_id").agg(*(F.sum(c).alias(c) for c in ("scans", "findings", "errors", "timed", "timed_ms")))
+
+
+def all_time(rollup: DataFrame) -> DataFrame:
+    """total_scans, errors and avg_duration_ms of all time, as of U03, U07 and U08, without reading the log."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    mean = F.coalesce(F.try_divide(F.sum("timed_ms"), F.sum("timed")), F.lit(0.0))
+    return rollup.agg(total("scans").alias("total_scans"), total("errors").alias("errors"), mean.alias("avg_duration_ms"))

@@ -9,7 +9,7 @@ from leakloom.operators import entries as en, findings as fd, report
 from leakloom.sources import archives as src
 
 
-def directories(archives: DataFrame, **limits: int) -> DataFrame:
+def directories(archives: DataFrame, **limits: int | None) -> DataFrame:
     """Admission of whole archives: adds ``entries`` and ``reason``; keeps ``content``.
 
     ``limits`` are those of ``entries.archive_reason``.
@@ -34,10 +34,11 @@ def directories(archives: DataFrame, **limits: int) -> DataFrame:
     )
 
 
-def entry_rows(dirs: DataFrame) -> DataFrame:
-    """One row per entry: archive, entry_idx, filename, event, scanned, code.
+def entry_rows(dirs: DataFrame, max_entry_bytes: int | None = catalog.MAX_ENTRY_BYTES) -> DataFrame:
+    """One row per entry: archive, entry_idx, filename, event, scanned, too_large, code.
 
-    Only entries that pass the name and size tests are inflated. An archive without
+    Only entries that pass the name and size tests are inflated; ``too_large`` marks those that
+    only the size limit (None: no limit) leaves out. An archive without
     entries keeps one row, so that it still gets a result.
     """
     carried = ("archive", "n_bytes", "reason", "failed")
@@ -53,12 +54,8 @@ def entry_rows(dirs: DataFrame) -> DataFrame:
             ),
         ),
     )
-    wanted = lambda e: (
-        e["path"].isNotNull()
-        & ~e["is_dir"]
-        & en.is_scannable(e["path"])
-        & en.is_small_enough(e["size"])
-    )
+    named = lambda e: e["path"].isNotNull() & ~e["is_dir"] & en.is_scannable(e["path"])
+    wanted = lambda e: named(e) & en.is_small_enough(e["size"], max_entry_bytes)
     empty = F.array().cast("array<struct<entry_idx:int,size:bigint,is_dir:boolean,path:string>>")
     entries = F.coalesce("entries", empty)
     picked = checked.withColumns(
@@ -71,12 +68,12 @@ def entry_rows(dirs: DataFrame) -> DataFrame:
         F.coalesce("content", F.lit(b"")), F.transform("_read", lambda e: e["entry_idx"])
     )
     # Bytes meet their entry by position, so that a row holds those of one entry only.
-    item = lambda e, content, failed: F.struct(
+    item = lambda e, content, failed, large: F.struct(
         e["entry_idx"].alias("entry_idx"), e["path"].alias("path"),
-        content.alias("content"), failed.alias("failed"),
+        content.alias("content"), failed.alias("failed"), F.coalesce(large, F.lit(False)).alias("too_large"),
     )
-    read = F.zip_with("_read", "_data", lambda e, d: item(e, d["content"], d["failed"]))
-    rest = F.transform("_rest", lambda e: item(e, F.lit(None).cast("binary"), F.lit(False)))
+    read = F.zip_with("_read", "_data", lambda e, d: item(e, d["content"], d["failed"], F.lit(False)))
+    rest = F.transform("_rest", lambda e: item(e, F.lit(None).cast("binary"), F.lit(False), named(e)))
     rows = (
         picked.withColumn("_data", data)
         .select(*carried, F.explode_outer(F.concat(read, rest)).alias("d"))
@@ -92,6 +89,7 @@ def entry_rows(dirs: DataFrame) -> DataFrame:
         "filename",
         F.when(unsafe, en.REJECTED).when(F.col("d.failed"), en.ERROR).alias("event"),
         text_file.alias("scanned"),
+        F.coalesce("d.too_large", F.lit(False)).alias("too_large"),
         F.when(text_file, tx.decode_utf8(F.col("d.content"))).alias("code"),
     )
 
@@ -128,18 +126,20 @@ def scan_archives(
     with_reports: bool = True,
     per_entry: int | None = None,
     per_archive: int | None = None,
-    **admission: int,
+    max_entry_bytes: int | None = catalog.MAX_ENTRY_BYTES,
+    **admission: int | None,
 ) -> DataFrame:
     """One row per archive: its status and, when it is 'ok', counts and nested results.
 
     ``per_entry`` and ``per_archive`` cap the findings, ``admission`` sets the limits of
-    ``entries.archive_reason``. The nested list is bounded by the admitted entries and the
+    ``entries.archive_reason`` and ``max_entry_bytes`` that of an entry; None is no limit, and
+    ``files_too_large`` says what the last one left out. The nested list is bounded by the admitted entries and the
     caps; without caps, read entries as flat rows from ``scan_entries`` instead.
 
     Other statuses: 'rejected' (with the failed admission check, or an unsafe path) and
     'error' (damaged directory or entry).
     """
-    rows = entry_rows(directories(archives, **admission))
+    rows = entry_rows(directories(archives, **admission), max_entry_bytes)
     capped = scan_entries(rows, per_entry, per_archive, with_reports)
     fields = ("findings", "report") if with_reports else ("findings",)
     keys = ("n_bytes", "reason", "failed", "archive_status")

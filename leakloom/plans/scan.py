@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from leakloom.functions import catalog
 from leakloom.operators import admission, findings as fd, report
 from leakloom.sources import tables
 
@@ -24,9 +25,11 @@ def scan_requests(requests: DataFrame, limit: int | None = None) -> DataFrame:
     return report.with_report(fd.with_summary(found)).withColumn("status", F.lit("ok"))
 
 
-def scan_bodies(bodies: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """JSON request bodies to results, blank results and refused requests."""
-    checked = admission.with_admission(bodies, column).drop(column)
+def scan_bodies(
+    bodies: DataFrame, column: str = "body", max_chars: int | None = catalog.MAX_CODE_CHARS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JSON request bodies to results, blank results and refused requests; max_chars as in admission."""
+    checked = admission.with_admission(bodies, column, max_chars).drop(column)
     return (
         scan_requests(admission.admitted(checked)),
         checked.where(F.col("reason") == admission.BLANK),

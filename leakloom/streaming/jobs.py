@@ -40,17 +40,18 @@ def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def write_batches(
-    stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", transform=None
 ) -> StreamingQuery:
-    """Write every micro-batch to its own ``batch_id=N`` folder.
+    """Write every micro-batch, or what ``transform`` makes of it, to its own ``batch_id=N`` folder.
 
     A repeated batch overwrites its folder, so a restart neither loses nor doubles rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{path}/batch_id={batch_id}"
-        writer = batch.write.mode("overwrite")
-        if "ts_date" in batch.columns:
+        out = transform(batch) if transform else batch
+        writer = out.write.mode("overwrite")
+        if "ts_date" in out.columns:
             writer = writer.partitionBy("ts_date")
         writer.parquet(target)
 
@@ -104,6 +105,30 @@ def totals_stream(log: DataFrame, lateness: str) -> DataFrame:
     )
 
 
+def rollup_stream(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Sums of the usage log per day and key, kept up as rows arrive (read them by usage.read_rollup).
+
+    Every batch leaves its own partial sums, which add up in any order: rows may come as late
+    as they like, none is refused, nothing is held as state, and a repeated batch replaces itself.
+    """
+    return write_batches(log, path, checkpoint, transform=usage.partial_sums)
+
+
+def rate_rollup_stream(limited: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Requests per route, bucket and minute like rate_stream, as partial sums that no row is too late for."""
+
+    def counts(batch: DataFrame) -> DataFrame:
+        return tenants.rate_counts(batch).drop("over")
+
+    return write_batches(limited, path, checkpoint, transform=counts)
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    parts = spark.read.option("basePath", path).parquet(path)
+    summed = parts.groupBy("route", "bucket", "minute").agg(F.sum("requests").alias("requests"), F.max("minute_limit").alias("minute_limit"))
+    return summed.withColumn("over", F.greatest(F.lit(0), F.col("requests") - F.col("minute_limit")))
+
+
 def _daily_quota(state_days: float) -> StatefulProcessor:
     """Requests accepted so far of one caller on one UTC day, as keyed state."""
     columns = [c.split()[0] for c in _DECISION.split(", ")]

@@ -40,20 +40,21 @@ add(
 
 
 def file_tree(spark, sf):
-    """Documents written as one file each, then read back as a file tree."""
+    """Documents written as one file each, by as many tasks as the table has parts, then read back as a file tree."""
     path = v.work_dir(spark, "files")
-    docs = v.table(spark, sf, "documents").select(F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value"))
-    docs.coalesce(1).sortWithinPartitions("value").write.option("maxRecordsPerFile", 1).text(path)
+    text = F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value")
+    v.table(spark, sf, "documents").select("doc_id", text).write.partitionBy("doc_id").text(path)
     files = tables.file_tree(spark, path, "*.txt")
     return files.select(
-        F.endswith("filename", F.lit(".txt")).alias("is_base_name"), F.md5("code").alias("code_md5")
+        F.regexp_extract("path", r"/doc_id=(\d+)/[^/]+$", 1).cast("long").alias("doc_id"),
+        F.endswith("filename", F.lit(".txt")).alias("is_base_name"), F.md5("code").alias("code_md5"),
     )
 
 
 add(
     "S02_file_tree",
     file_tree,
-    "SELECT true AS is_base_name, md5(text || chr(10)) AS code_md5 FROM documents",
+    "SELECT doc_id, true AS is_base_name, md5(text || chr(10)) AS code_md5 FROM documents",
 )
 
 
@@ -579,23 +580,28 @@ FROM shown f JOIN templates t USING (type)""",
 # --- whole scans ------------------------------------------------------------------
 
 
-def _raw_scan(table, key, text, filename):
+def _raw_scan(table, key, text, filename, planted=False):
+    """The text of a table as it is, or with a line of code that its key picks behind it."""
+    n = len(v.FRAGMENTS)
+
     def run(spark, sf):
+        code = F.concat(F.col(text), F.lit("\n"), v._pick(v.FRAGMENTS, F.col(key) % n)) if planted else F.col(text)
         files = v.table(spark, sf, table).select(
-            F.col(key).alias("doc_id"), F.lit(filename).alias("filename"), F.col(text).alias("code")
+            F.col(key).alias("doc_id"), F.lit(filename).alias("filename"), code.alias("code")
         )
         return fd.explode_findings(fd.with_findings(files), "doc_id").select(
             "doc_id", "line", "column", "type", "severity", "match"
         )
 
-    sql = f"""WITH corpus AS MATERIALIZED (SELECT {key} AS doc_id, {q(filename)} AS filename, {text} AS code FROM {table}),
+    code_sql = f"{text} || chr(10) || {v._sql_pick(v.FRAGMENTS, f'{key} % {n}')}" if planted else text
+    sql = f"""WITH corpus AS MATERIALIZED (SELECT {key} AS doc_id, {q(filename)} AS filename, {code_sql} AS code FROM {table}),
 {sq.findings_cte()} SELECT doc_id, line, "column", type, severity, match FROM findings"""
     return run, sql
 
 
 add("scan_documents", *_raw_scan("documents", "doc_id", "text", "a.txt"))
 add("scan_page_urls", *_raw_scan("pages", "page_id", "url", "a.txt"))
-add("scan_pages", *_raw_scan("pages", "page_id", "html", "a.html"))
+add("scan_pages", *_raw_scan("pages", "page_id", "html", "a.html", planted=True))
 add(
     "scan_corpus",
     lambda spark, sf: _findings(spark, sf, "doc_id", "filename").select(

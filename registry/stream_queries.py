@@ -125,3 +125,23 @@ add(
     f"{uq._SCANS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, key_id, count(*) AS scans, "
     "CAST(sum(findings) AS BIGINT) AS findings FROM scans GROUP BY 1, 2",
 )
+
+
+def rollup(spark, sf):
+    path, state = v.work_dir(spark, "rollup"), v.work_dir(spark, "state")
+    jobs.rollup_stream(_scans_stream(spark, sf), path, state).awaitTermination()
+    return usage.read_rollup(spark, path)
+
+
+add(
+    "U03_all_time_from_rollup",
+    lambda spark, sf: usage.all_time(rollup(spark, sf)),
+    f"""{uq._SCANS} SELECT count(*) AS total_scans, count(*) FILTER (status <> 'ok') AS errors,
+  coalesce(avg(duration_ms) FILTER (status = 'ok'), 0) AS avg_duration_ms FROM scans""",
+)
+add(
+    "ST05_totals_from_rollup",
+    lambda spark, sf: rollup(spark, sf).select(F.col("date").cast("string").alias("date"), "key_id", "scans", "findings", "errors"),
+    f"""{uq._SCANS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, key_id, count(*) AS scans,
+  CAST(sum(findings) AS BIGINT) AS findings, count(*) FILTER (status <> 'ok') AS errors FROM scans GROUP BY 1, 2""",
+)

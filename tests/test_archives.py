@@ -94,6 +94,19 @@ def test_counts(results):
     assert len(capped.findings_by_file) == 5
 
 
+def test_what_the_size_limit_leaves_out_is_counted(spark, results):
+    """One byte above the limit of an entry: left out and counted, or scanned where no limit is set."""
+    sized = results[0]["size.zip"]
+    assert (sized.files_too_large, sized.files_scanned) == (1, 1)
+    large = BAD + " " * (catalog.MAX_ENTRY_BYTES + 1)
+    data = bytearray(make_zip([("a.py", large), ("b.txt", large), ("c/", "")]))
+    archives = spark.createDataFrame([("x.zip", len(data), data)], "archive string, n_bytes long, content binary")
+    none = archive_scan.scan_archives(archives, max_entry_bytes=None, max_bytes=None, max_entries=None, max_total=None).first()
+    assert (none.status, none.files_scanned, none.files_too_large) == ("ok", 1, 0) and none.total > 0
+    few = archive_scan.scan_archives(archives, max_entries=1).first()
+    assert (few.status, few.reason) == ("rejected", "too_many_entries")
+
+
 def test_usage_inputs(results):
     logged = {r.archive.rsplit("/", 1)[-1]: r for r in archive_scan.usage_inputs(results[1]).collect()}
     assert "climb.zip" not in logged and "not.zip" not in logged

@@ -103,6 +103,36 @@ def test_quota_stream_goes_on_after_a_restart(spark, tmp_path):
     assert list((tmp_path / "cp" / "state").rglob("*.zip")), "the counts are in a RocksDB state store"
 
 
+def test_sums_take_late_rows_and_repeated_batches(spark, tmp_path):
+    """Twelve batches in any order of time: no row is refused, and a batch that is done again counts once."""
+    rnd = random.Random(6)
+    rows = [(i, START + timedelta(seconds=rnd.randint(-500_000, 500_000)), f"k{rnd.randint(0, 3)}", rnd.randint(0, 9),
+             rnd.choice(["ok", "ok", "error"]), rnd.choice([None, 5, 11])) for i in range(600)]
+    schema = "id long, ts timestamp, key_id string, findings int, status string, duration_ms int"
+    for part in range(12):
+        spark.createDataFrame(rows[part::12], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = spark.createDataFrame(rows, schema)
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    jobs.rollup_stream(stream, str(tmp_path / "sums"), str(tmp_path / "cp")).awaitTermination()
+    again = spark.read.parquet(str(tmp_path / "sums" / "batch_id=3"))
+    rows_of = again.collect()
+    spark.createDataFrame(rows_of, again.schema).write.mode("overwrite").parquet(str(tmp_path / "sums" / "batch_id=3"))
+    kept = usage.read_rollup(spark, str(tmp_path / "sums"))
+    whole = usage.partial_sums(log)
+    assert sorted(map(tuple, kept.select(whole.columns).collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    total = usage.all_time(kept).first()
+    timed = [r[5] for r in rows if r[4] == "ok" and r[5] is not None]
+    assert (total.total_scans, total.errors) == (600, sum(r[4] != "ok" for r in rows))
+    assert total.avg_duration_ms == pytest.approx(sum(timed) / len(timed))
+    assert usage.all_time(whole.limit(0)).first() == (0, 0, 0.0)
+    limited = log.select("id", "ts", F.lit("code").alias("route"), F.col("key_id").alias("bucket"), F.lit(1).alias("minute_limit"))
+    wide = stream.select("id", "ts", F.lit("code").alias("route"), F.col("key_id").alias("bucket"), F.lit(1).alias("minute_limit"))
+    jobs.rate_rollup_stream(wide, str(tmp_path / "rates"), str(tmp_path / "cp2")).awaitTermination()
+    rates = jobs.read_rates(spark, str(tmp_path / "rates"))
+    want = tenants.rate_counts(limited)
+    assert sorted(map(tuple, rates.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_running_sums_of_a_hot_group(spark, tmp_path):
     """One group holds half of all rows, several groups end and begin in one partition, and keys may be null."""
     rnd = random.Random(4)
@@ -271,3 +301,5 @@ def test_admission(spark):
     assert got["default"][1] == "input.py"
     results, blank, refused = scan.scan_bodies(frame)
     assert (results.count(), blank.count(), refused.count()) == (2, 1, 9)
+    results, blank, refused = scan.scan_bodies(frame, max_chars=None)
+    assert (results.count(), blank.count(), refused.count()) == (3, 1, 8)
