@@ -103,6 +103,34 @@ def test_quota_stream_goes_on_after_a_restart(spark, tmp_path):
     assert list((tmp_path / "cp" / "state").rglob("*.zip")), "the counts are in a RocksDB state store"
 
 
+def test_quota_stream_keeps_state_by_bucket(spark, tmp_path):
+    """Hundreds of accounts over three days share four values of state, and are decided as one by one."""
+    rnd = random.Random(3)
+    plain = [(i, START + timedelta(hours=rnd.randint(0, 60)), rnd.choice(["code", "code", "archive"]), rnd.choice([None, "anon", *(f"user:{j}" for j in range(150))]))
+             for i in range(3000)]
+    plain.sort(key=lambda r: (r[1], r[0]))
+    schema = "id long, ts timestamp, route string, caller string"
+    for part in range(2):
+        spark.createDataFrame(plain[part * 1500 : (part + 1) * 1500], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    called = stream.withColumns({"valid": F.lit(True), "plan": F.when(F.col("caller") < "user:3", "pro")})
+    query = jobs.quota_stream(called, str(tmp_path / "out"), str(tmp_path / "cp"), {"free": 4, "pro": 9}, buckets=4)
+    query.awaitTermination()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]] == [4, 4]
+    used, want = {}, set()
+    for i, ts, route, caller in plain:
+        n = used.get((caller, ts.date()), 0)
+        if caller == "anon":
+            continue
+        if route == "code" and n >= (9 if caller and caller < "user:3" else 4):
+            want.add(i)
+        else:
+            used[caller, ts.date()] = n + 1
+    log = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).collect()
+    assert len(log) == 3000 and {r.id for r in log if r.blocked} == want and want
+    assert all(r.consumed == (r.caller != "anon" and not r.blocked) for r in log)
+
+
 def test_sums_take_late_rows_and_repeated_batches(spark, tmp_path):
     """Twelve batches in any order of time: no row is refused, and a batch that is done again counts once."""
     rnd = random.Random(6)
