@@ -10,6 +10,7 @@ from leakloom.operators import admission, prefix, tenants, topk, usage
 from leakloom.plans import scan
 from leakloom.sources import tables
 from leakloom.streaming import jobs
+from registry import scan_queries, stream_queries
 
 START = datetime(2024, 3, 1, 22, 0)
 
@@ -131,6 +132,15 @@ def test_quota_stream_keeps_state_by_bucket(spark, tmp_path):
     assert all(r.consumed == (r.caller != "anon" and not r.blocked) for r in log)
 
 
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    """A table may be one file or a folder of part files."""
+    docs = spark.createDataFrame([(i, "web", f"text {i}\napi_key") for i in range(60)], "doc_id long, source string, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = stream_queries.QUERIES["ST01_scan_stream"](spark, str(tmp_path))
+    want = scan_queries.QUERIES["scan_corpus"](spark, str(tmp_path)).select(got.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() > 0
+
+
 def test_sums_take_late_rows_and_repeated_batches(spark, tmp_path):
     """Twelve batches in any order of time: no row is refused, and a batch that is done again counts once."""
     rnd = random.Random(6)
