@@ -4,6 +4,7 @@ import io
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,16 @@ def test_saved_findings(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"code": "only"}')
     rows = {r.code: r.findings for r in tables.read_saved_findings(spark, str(tmp_path)).collect()}
     assert [f.type for f in rows[""]] == ["eval_usage"] and rows["a\nb"][0].match == "m" and rows["only"] == []
+
+
+def test_inflated_bytes_leave_the_worker_in_pieces(spark):
+    """Packed archives of one batch can inflate to far more than Python should hold at once."""
+    size, n = 3 * 2**20, 12
+    zips = [make_zip([("a.py", b"a" * size), ("b.py", b"b" * i)]) for i in range(n)]
+    parts = [(pa.array(zips), pa.array([[0, 1]] * n, pa.list_(pa.int32())))]
+    pieces = list(src._inflater()(iter(parts)))
+    assert sum(map(len, pieces)) == n and max(p.nbytes for p in pieces) < src.INFLATED_BYTES + 2 * size
+    frame = spark.createDataFrame([(i, bytearray(z)) for i, z in enumerate(zips)], "i int, content binary").coalesce(1)
+    data = F.explode(src.inflate(F.col("content"), F.array(F.lit(0), F.lit(1)))).alias("d")
+    got = frame.select("i", data).select("i", "d.entry_idx", F.octet_length("d.content"), "d.failed").collect()
+    assert sorted(map(tuple, got)) == [(i, e, (size, i)[e], False) for i in range(n) for e in (0, 1)]
