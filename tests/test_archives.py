@@ -1,6 +1,8 @@
 """Archives on disk, admission, path rules and the capped walk."""
 
+import hashlib
 import io
+import os
 import random
 import zipfile
 
@@ -12,6 +14,7 @@ from leakloom.functions import catalog
 from leakloom.operators import entries as en
 from leakloom.plans import archive_scan
 from leakloom.sources import archives as src, tables
+from registry import scan_queries, views
 
 BAD = "r = eval(x)\n"
 
@@ -173,6 +176,44 @@ def test_file_tree(spark, tmp_path):
     assert [(r.filename, r.code) for r in rows] == [("a.py", "x\n\ufffdy\nr = eval(x)\n")]
 
 
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    """Each file counts as 4 MB for Spark, which would make ten tasks of these."""
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    cores = spark.sparkContext.defaultParallelism
+    files = tables.file_tree(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == cores
+    assert {(r.filename, r.code) for r in files.collect()} == {(f"{i}.txt", f"text {i}") for i in range(300)}
+    monkeypatch.setattr(tables, "FILES_PER_TASK", 50)
+    assert tables.file_tree(spark, str(tmp_path)).rdd.getNumPartitions() == 6
+    monkeypatch.setattr(tables, "BYTES_PER_TASK", 300)
+    assert tables.file_tree(spark, str(tmp_path)).rdd.getNumPartitions() == 8  # 2,290 bytes
+
+
+@pytest.mark.parametrize("store", ["file", "viewfs"])
+def test_documents_as_files(spark, tmp_path, monkeypatch, store):
+    """One file per document of a task; in the local file system nothing beside it, and no folder of its own."""
+    documents = [(1, "a\nb"), (-2, ""), (3, None), (4, "c\r\nd"), (None, "no key"), (5, "twice "), (5, "twice"), (2**40, "\u00e4\ud7ff")]
+    # Keys that come twice meet in one task; files of other tasks are other files.
+    once = spark.createDataFrame(documents, "doc_id long, text string").coalesce(1)
+    again = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").coalesce(1)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(views, "table", lambda *_: once.union(again).union(empty))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    monkeypatch.setattr(views, "work_dir", lambda *_: {"file": f"file://{tmp_path}/tree", "viewfs": "viewfs://store/in/tree"}[store])
+    found = scan_queries.file_tree(spark, "")
+    if store == "file":
+        tree = [names for _, _, names in os.walk(tmp_path / "tree")]
+        assert sum(map(len, tree)) == 8 and len(tree) <= 1 + 8
+        # What an attempt that did not end has left is no document.
+        (tmp_path / "tree" / "_part-00000-99").mkdir()
+        (tmp_path / "tree" / "_part-00000-99" / "doc_id=9.txt").write_text("half a te")
+        assert tables.file_tree(spark, f"{tmp_path}/tree", "*.txt").count() == 8
+    code = {1: "a\nb\n", -2: "\n", 3: "\n", 4: "c\n\nd\n", None: "no key\n", 5: "twice \ntwice\n", 2**40: "\u00e4\ud7ff\n"}
+    want = [(k, True, hashlib.md5(c.encode()).hexdigest()) for k, c in [*code.items(), (1, code[1])]]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
 def test_saved_findings(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"type": "eval_usage", "severity": "high", "line": 1}]')
     (tmp_path / "b.json").write_text('{"findings": [{"type": "x", "severity": "low", "line": 2, "match": "m"}], "code": "a\\nb"}')
